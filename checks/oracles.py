@@ -114,8 +114,8 @@ AS_OF = "DATE '2024-01-01'"
 
 
 def txt(x: str, k: int) -> str:
-    """Fixed-point text, half-even."""
-    return f"CAST(CAST(round_even({x}, {k}) AS DECIMAL(38,{k})) AS VARCHAR)"
+    """Fixed-point text of the exact binary value, half-even."""
+    return f"format('{{:.{k}f}}', CAST({x} AS DOUBLE))"
 
 
 _DAYS = f"(SELECT i, CAST({AS_OF} + i * INTERVAL 1 DAY AS DATE) AS d FROM range(30) r(i))"
@@ -156,21 +156,26 @@ def forecast(policy: str, noise: bool = False, source: str = "est") -> str:
 days AS (
   SELECT {KEY}, i, d, inventory_level, greatest({floor}, round_even({value}, 2)) AS v FROM {source}, {_DAYS}
 ),
-trended AS (
-  SELECT *, lag(v) OVER w AS before, sum(v) OVER (PARTITION BY {KEY} ORDER BY i) AS running FROM days
-  WINDOW w AS (PARTITION BY {KEY} ORDER BY i)
-),
-fc AS (
+trended AS (SELECT *, lag(v) OVER (PARTITION BY {KEY} ORDER BY i) AS before FROM days),
+grouped AS (
   SELECT {KEY},
     string_agg(CAST(d AS VARCHAR), ',' ORDER BY i) AS dates,
     string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS demands,
     string_agg(CASE WHEN v > before THEN 'Up' WHEN v < before THEN 'Down' ELSE 'Stable' END, ',' ORDER BY i) AS trends,
     list(struct_pack("date" := CAST(d AS VARCHAR), demand := v,
       trend := CASE WHEN v > before THEN 'Up' WHEN v < before THEN 'Down' ELSE 'Stable' END) ORDER BY i) AS listed,
-    round_even(sum(v), 2) AS total_30day,
-    sum(v) FILTER (WHERE i < 7) AS lead,
-    min(d) FILTER (WHERE running > inventory_level + 1e-9) AS stockout_date
+    list(v ORDER BY i) AS vs, any_value(inventory_level) AS inv0,
+    list(struct_pack(t := v, d := d, hit := CAST(NULL AS DATE)) ORDER BY i) AS steps
   FROM trended GROUP BY {KEY}
+),
+fc AS (
+  SELECT {KEY}, dates, demands, trends, listed,
+    {"round_even(list_reduce(vs, lambda a, x: a + x), 2)" if policy == "A" else "list_reduce(vs, lambda a, x: a + x)"} AS total_30day,
+    list_reduce(vs[1:7], lambda a, x: a + x) AS lead,
+    list_reduce(list_prepend(struct_pack(t := 0.0::DOUBLE, d := CAST(NULL AS DATE), hit := CAST(NULL AS DATE)), steps),
+      lambda a, x: struct_pack(t := a.t + x.t, d := x.d,
+        hit := coalesce(a.hit, CASE WHEN a.t + x.t > inv0 THEN x.d END))).hit AS stockout_date
+  FROM grouped
 )"""
 
 
@@ -336,7 +341,7 @@ history AS (
 
 ALERTS = DONE_A + f""",
 lines AS (
-  SELECT {_ID} AS prediction_id, {_USER} AS user_id, store_id, product_id, CAST(sale_date AS TIMESTAMP) AS at,
+  SELECT {_ID} AS prediction_id, {_USER} AS user_id, store_id, product_id, CAST(sale_date AS TIMESTAMP) AS raised_at,
     unnest(list_concat(
       CASE WHEN urgency IN ('HIGH', 'MEDIUM') THEN [struct_pack("type" := 'REORDER', severity := urgency,
         message := 'Reorder needed for ' || product_id, details := reorder_reasoning, action := reorder_action)] ELSE [] END,
@@ -345,13 +350,13 @@ lines AS (
 ),
 raised AS (
   SELECT sha256(prediction_id || '_' || a."type") AS alert_id, user_id, prediction_id, store_id, product_id,
-    a."type" AS alert_type, a.severity AS severity, a.message AS message, a.details AS details, at
+    a."type" AS alert_type, a.severity AS severity, a.message AS message, a.details AS details, raised_at
   FROM lines
 ),
 state AS (
   SELECT alert_id, user_id, prediction_id, store_id, product_id, alert_type, severity, message, details,
-    severity = 'MEDIUM' AS resolved, at AS created_at,
-    CASE WHEN severity = 'MEDIUM' THEN at + INTERVAL 1 DAY END AS resolved_at
+    severity = 'MEDIUM' AS resolved, raised_at AS created_at,
+    CASE WHEN severity = 'MEDIUM' THEN raised_at + INTERVAL 1 DAY END AS resolved_at
   FROM raised
 )"""
 
@@ -362,8 +367,22 @@ def ts(c: str, alias: str | None = None) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {alias or c}"
 
 
+def exact(sql: str) -> str:
+    """``round_even(x, k)`` by way of fixed-point text: DuckDB's own scales first and so moves values across ties."""
+    mark = "round_even("
+    while mark in sql:
+        start = sql.rindex(mark)
+        depth, end = 1, start + len(mark)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x, k = sql[start + len(mark):end - 1].rsplit(",", 1)
+        sql = f"{sql[:start]}CAST({txt(x, int(k))} AS DOUBLE){sql[end:]}"
+    return sql
+
+
 def put(name: str, ctes: str, select: str) -> None:
-    ORACLES[name] = f"WITH {ctes.strip()}\n{select}"
+    ORACLES[name] = exact(f"WITH {ctes.strip()}\n{select}")
 
 
 DAY = "CAST(sale_date AS VARCHAR) AS sale_date"
@@ -501,8 +520,8 @@ put("augmented_lags", _augmented(""), f"""SELECT {ROW}, source, lag(units_sold,
   round(avg(units_sold) OVER ({_PAIRS} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS units_sold_rolling_mean_7
 FROM augmented""")
 put("noisy_sales", FACT, f"""SELECT {ROW}, CAST(round_even(greatest(0.0, units_sold * (1.0 + 0.15 * {norm("'daily'")})
-  * CASE WHEN discount > 0 THEN 0.7 + (1.2 - 0.7) * {unif("'discount'")} ELSE 1.0 END
-  * CASE WHEN {unif("'shock'")} < 0.02 THEN 1.3 + (2.0 - 1.3) * {unif("'size'")} ELSE 1.0 END), 0) AS INT) AS units_sold
+  * CASE WHEN discount > 0 THEN 0.7::DOUBLE + (1.2::DOUBLE - 0.7::DOUBLE) * {unif("'discount'")} ELSE 1.0 END
+  * CASE WHEN {unif("'shock'")} < 0.02 THEN 1.3::DOUBLE + (2.0::DOUBLE - 1.3::DOUBLE) * {unif("'size'")} ELSE 1.0 END), 0) AS INT) AS units_sold
 FROM retail_fact""")
 put("keyed_noise", FACT, f"""SELECT {ROW}, round({unif("'u'")}, 9) AS uniform, round(1.0 + {norm("'n'")}, 9) AS normal
 FROM retail_fact""")
@@ -597,8 +616,8 @@ put("scoring_fill", FACT, f"""SELECT {ROW}, round((SELECT avg(units_sold) FROM r
 # --- decisions ---
 put("demand_heuristic", EST, f"""SELECT {ROW}, greatest(10.0, units_sold * (1.0 - (price / 100) * 0.1)
   * (1.0 + (discount / 100) * 0.5) * CASE WHEN promotion <> 0 THEN 1.3 ELSE 1.0 END
-  * (0.9 + (1.1 - 0.9) * {unif("'heuristic'")})) AS demand FROM valid""")
-put("demand_naive", EST, f"SELECT {ROW}, greatest(10.0, units_sold * (0.8 + (1.2 - 0.8) * {unif(chr(39) + 'naive' + chr(39))})) AS demand FROM valid")
+  * (0.9::DOUBLE + (1.1::DOUBLE - 0.9::DOUBLE) * {unif("'heuristic'")})) AS demand FROM valid""")
+put("demand_naive", EST, f"SELECT {ROW}, greatest(10.0, units_sold * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {unif(chr(39) + 'naive' + chr(39))})) AS demand FROM valid")
 put("forecast_a", EST + forecast("A", True), f"SELECT {ROW}, dates, demands, trends FROM fc")
 put("forecast_b", EST + forecast("B", True), f"SELECT {ROW}, dates, demands, trends FROM fc")
 put("forecast_trend", EST + forecast("A"), f"SELECT {ROW}, dates, trends FROM fc")
@@ -740,7 +759,7 @@ UNION ALL SELECT prediction_id, 'Demand Forecast', CAST(demand_forecast AS VARCH
 UNION ALL SELECT prediction_id, 'Recommended Price', CAST(recommended_price AS VARCHAR) FROM history
 UNION ALL SELECT prediction_id, 'Reorder Quantity', CAST(reorder_quantity AS VARCHAR) FROM history""")
 put("alert_rows", ALERTS, f"""SELECT alert_id, user_id, prediction_id, store_id, product_id, alert_type, severity, message, details,
-  'raise' AS event, {ts('at', 'event_at')} FROM raised""")
+  'raise' AS event, {ts('raised_at', 'event_at')} FROM raised""")
 put("alert_state", ALERTS, f"""SELECT alert_id, user_id, prediction_id, store_id, product_id, alert_type, severity, message, details,
   resolved, {ts('created_at')}, {ts('resolved_at')} FROM state""")
 _BOTH = HISTORY + ", " + "state AS (WITH " + ALERTS.strip() + " SELECT * FROM state)"

@@ -12,6 +12,7 @@ from stockloom.functions.values import NULL_TOKENS
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TWO32 = 4294967296.0
+SPLITTER = 134217729.0  # 2**27 + 1: cuts a double's 53 digits into two halves
 
 
 def blank_to_null(c: Column) -> Column:
@@ -40,9 +41,26 @@ def flag(c: Column, accepted: Iterable[str]) -> Column:
     return F.when(c.cast("string").isin(*accepted), 1).otherwise(0)
 
 
+def round_half_even(c: Column, digits: int = 0) -> Column:
+    """Round the exact binary value of a double to ``digits`` decimals, ties to even, as Python's ``round`` does.
+
+    Scaling can hide which side of a tie a value is on. The rounding error of the product is recovered exactly by
+    splitting the factor into two halves, and decides where the scaled value looks like a tie. ``c`` is read several
+    times: pass a column, not a long expression.
+    """
+    if digits == 0:
+        return F.rint(c)
+    scale = float(10**digits)
+    scaled = c * scale
+    upper = c * SPLITTER - (c * SPLITTER - c)
+    error = (upper * scale - scaled) + (c - upper) * scale
+    tie = (F.abs(scaled - F.rint(scaled)) == 0.5) & (error != 0)
+    return F.when(tie, scaled + 0.5 * F.signum(error)).otherwise(F.rint(scaled)) / scale
+
+
 def fixed_text(c: Column, digits: int) -> Column:
     """Fixed-point text, half-even."""
-    return F.bround(c, digits).try_cast(f"decimal(38,{digits})").cast("string")
+    return round_half_even(c, digits).try_cast(f"decimal(38,{digits})").cast("string")
 
 
 def float_text(c: Column) -> Column:

@@ -67,5 +67,10 @@ def business_alerts(df: DataFrame, policy: Policy) -> DataFrame:
 
 
 def alert_lines(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per raised alert."""
-    return df.select(*keep, F.explode("alerts").alias("a")).select(*keep, "a.*")
+    """One row per raised alert.
+
+    The outer explode keeps the optimizer from deriving a filter on the array and pushing it, with all the rules it
+    depends on written out, below the decision steps.
+    """
+    lines = df.select(*keep, F.explode_outer("alerts").alias("a"))
+    return lines.filter(F.col("a").isNotNull()).select(*keep, "a.*")

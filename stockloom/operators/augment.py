@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import flag, normal, uniform
+from stockloom.functions.scalar import flag, normal, round_half_even, uniform
 from stockloom.functions.values import SALES_FLAGS
 from stockloom.operators.lookup import lookup_join
 
@@ -60,4 +60,4 @@ def noisy_sales(df: DataFrame, noise: str = "keyed", seed: int = 42) -> DataFram
         * F.when(F.col("discount") > 0, uniform(keys, "discount", 0.7, 1.2, noise, seed)).otherwise(1.0)
         * F.when(shocked, uniform(keys, "size", 1.3, 2.0, noise, seed)).otherwise(1.0)
     )
-    return df.withColumn("units_sold", F.bround(F.greatest(F.lit(0.0), units), 0).cast("int"))
+    return df.withColumn("units_sold", round_half_even(F.greatest(F.lit(0.0), units), 0).cast("int"))

@@ -42,7 +42,8 @@ def _line(section: str, key: Column | str, value: Column, extra: Column | None =
 def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
     """Each report as ordered (section, key, value) lines, the forecast cut to seven days.
 
-    The lines of a report come from one array, so no sort is needed; write them with a quoting CSV writer.
+    The lines of a report come from one array, so no sort is needed; write them with a quoting CSV writer. The array is
+    never empty; the outer explode only keeps the optimizer from pushing a filter on it below the decision steps.
     """
     info, demand = F.col("report.product_info"), F.col("report.demand_forecast")
     pricing, stock = F.col("report.pricing_strategy"), F.col("report.inventory_management")
@@ -85,7 +86,7 @@ def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
     alerts = F.when(F.size("report.business_alerts") > 0, raised).otherwise(
         F.array(_line(SECTION_ALERTS, NO_ALERTS, F.lit(None)))
     )
-    lines = df.select("prediction_id", F.posexplode(F.concat(fixed, daily, decisions, alerts)).alias("line", "l"))
+    lines = df.select("prediction_id", F.posexplode_outer(F.concat(fixed, daily, decisions, alerts)).alias("line", "l"))
     return lines.select("prediction_id", "line", "l.*")
 
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import digest_normal, keyed_digest
+from stockloom.functions.scalar import digest_normal, keyed_digest, round_half_even
 from stockloom.functions.values import HORIZON, LEAD_DAYS, Policy
 from stockloom.operators.demand import NOISE_KEY
 
@@ -50,7 +50,7 @@ def daily_forecast(df: DataFrame, policy: Policy, as_of: str, noise: str = "off"
             d.alias("day"), keyed_digest(keys, F.concat(F.lit("day"), d["i"].cast("string")), seed).alias("digest")
         ))
 
-    def demand(element: Column) -> Column:
+    def raw(element: Column) -> Column:
         day = element if noise == "off" else element["day"]
         value = F.col("demand") * day["level"] * day["season"]
         if noise != "off":
@@ -58,10 +58,13 @@ def daily_forecast(df: DataFrame, policy: Policy, as_of: str, noise: str = "off"
             if policy.noise_low is not None:
                 factor = F.greatest(F.lit(policy.noise_low), F.least(F.lit(policy.noise_high), factor))
             value = value * factor
-        value = F.greatest(F.lit(policy.daily_floor), F.bround(value, 2))
+        return F.struct(day["date"].alias("date"), value.alias("raw"))
+
+    def demand(day: Column) -> Column:
+        value = F.greatest(F.lit(policy.daily_floor), round_half_even(day["raw"], 2))
         return F.struct(day["date"].alias("date"), value.alias("demand"))
 
-    out = df.withColumn("forecast", F.transform(days, demand))
+    out = df.withColumn("forecast", F.transform(F.transform(days, raw), demand))
     return out.withColumn("forecast", with_trend(F.col("forecast")))
 
 
@@ -76,7 +79,7 @@ def first_days(days: Column, n: int = LEAD_DAYS) -> Column:
 def forecast_totals(df: DataFrame) -> DataFrame:
     """The 30-day total and the lead-time demand (first seven days)."""
     return df.withColumns({
-        "total_30day": F.bround(demand_sum(F.col("forecast")), 2),
+        "total_30day": demand_sum(F.col("forecast")),
         "lead_time_demand": demand_sum(first_days(F.col("forecast"))),
     })
 

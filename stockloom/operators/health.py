@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import fixed_text, float_text
+from stockloom.functions.scalar import fixed_text, float_text, round_half_even
 from stockloom.functions.values import Policy
 
 # --- Fixed values: score points, bands and action texts ---
@@ -32,7 +32,7 @@ def health_score(df: DataFrame, policy: Policy) -> DataFrame:
     confidence: Column = F.lit(CONFIDENCE_POINTS_A)
     if policy.confidence_points is not None:
         confidence = F.col("confidence") * policy.confidence_points
-    score = F.bround(BASE_POINTS + points + stock + confidence, 0)
+    score = round_half_even(BASE_POINTS + points + stock + confidence, 0)
     return df.withColumn("health_score", F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)).cast("int"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.functions.scalar import round_half_even
 from stockloom.operators.alerts import alert_lines
 
 REORDER_MESSAGE = "Reorder needed for "
@@ -31,7 +32,7 @@ def history_rows(
         "user_id", "store_id", "product_id", "category",
         F.to_json(F.struct(*input_columns)).alias("input_data"),
         F.to_json("report").alias("prediction_result"),
-        F.bround("demand", 2).alias("demand_forecast"),
+        round_half_even(F.col("demand"), 2).alias("demand_forecast"),
         "recommended_price",
         F.col("order_quantity").alias("reorder_quantity"),
         "health_score",

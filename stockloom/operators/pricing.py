@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import fixed_text
+from stockloom.functions.scalar import fixed_text, round_half_even
 from stockloom.functions.values import ELASTICITY, Policy
 
 # --- Fixed values: strategy names and reasons ---
@@ -63,13 +63,13 @@ def price_impact(df: DataFrame) -> DataFrame:
     out = df.withColumns({"_volume": volume, "_old_revenue": old_revenue})
     out = out.withColumn("_new_revenue", demand * (1 + F.col("_volume")) * new)
     change = F.try_divide(F.col("_new_revenue") - F.col("_old_revenue"), F.col("_old_revenue")) * 100
-    return out.withColumns({
-        "recommended_price": F.bround("_new_price", 2),
-        "volume_change": F.bround(F.col("_volume") * 100, 1),
-        "revenue_change": F.bround(change, 1),
-        "old_revenue": F.bround("_old_revenue", 2),
-        "new_revenue": F.bround("_new_revenue", 2),
-    }).drop("_new_price", "_volume", "_old_revenue", "_new_revenue")
+    return out.withColumn("_change", change).withColumns({
+        "recommended_price": round_half_even(F.col("_new_price"), 2),
+        "volume_change": round_half_even(F.col("_volume") * 100, 1),
+        "revenue_change": round_half_even(F.col("_change"), 1),
+        "old_revenue": round_half_even(F.col("_old_revenue"), 2),
+        "new_revenue": round_half_even(F.col("_new_revenue"), 2),
+    }).drop("_new_price", "_volume", "_old_revenue", "_new_revenue", "_change")
 
 
 def price(df: DataFrame, policy: Policy) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import fixed_text, float_text
+from stockloom.functions.scalar import fixed_text, float_text, round_half_even
 from stockloom.functions.values import BUFFER_DAYS, HOLDING_RATE, LEAD_DAYS, ORDERING_COST, Policy
 from stockloom.operators.forecast import demand_sum, first_days, stockout_date
 
@@ -63,10 +63,10 @@ def reorder_a(df: DataFrame, policy: Policy) -> DataFrame:
     )
     return out.withColumns({
         "current_inventory": F.col("_stock"),
-        "days_of_supply": F.bround("_days", 1),
-        "reorder_point": F.bround("_point", 0),
-        "safety_stock": F.bround("_safety", 0),
-        "order_quantity": F.bround(quantity, 0),
+        "days_of_supply": round_half_even(F.col("_days"), 1),
+        "reorder_point": round_half_even(F.col("_point"), 0),
+        "safety_stock": round_half_even(F.col("_safety"), 0),
+        "order_quantity": round_half_even(quantity, 0),
         "reorder_action": _by_urgency(*[F.lit(ACTIONS[u]) for u in ("HIGH", "MEDIUM", "LOW")]),
         "reorder_reasoning": _by_urgency(
             F.lit(A_HIGH),
@@ -99,10 +99,10 @@ def reorder_b(df: DataFrame, policy: Policy) -> DataFrame:
     ).otherwise(B_RISK_LOW)
     return out.withColumns({
         "current_inventory": F.col("inventory_level"),
-        "days_of_supply": F.bround("_days", 1),
-        "reorder_point": F.bround("_point", 0),
-        "lead_time_demand": F.bround("_lead", 0),
-        "order_quantity": F.bround(economic_order_quantity(F.col("demand"), F.col("price"), policy.order_cap_days), 0),
+        "days_of_supply": round_half_even(F.col("_days"), 1),
+        "reorder_point": round_half_even(F.col("_point"), 0),
+        "lead_time_demand": round_half_even(F.col("_lead"), 0),
+        "order_quantity": round_half_even(economic_order_quantity(F.col("demand"), F.col("price"), policy.order_cap_days), 0),
         "reorder_action": _by_urgency(*[F.lit(ACTIONS[u]) for u in ("HIGH", "MEDIUM", "LOW")]),
         "reorder_reasoning": _by_urgency(
             F.concat(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.functions.scalar import round_half_even
 from stockloom.functions.values import ERROR_REPORT, Policy
 from stockloom.operators.cleanse import REJECT
 
@@ -30,7 +31,7 @@ def _impact(volume: Column, revenue: Column, old: Column, new: Column) -> Column
 def full_report(df: DataFrame, policy: Policy, analysed_at: str) -> DataFrame:
     """Add ``report``; the input carries the columns of all decision operators."""
     own_stock = "safety_stock" if policy.name == "A" else "lead_time_demand"
-    demand = F.bround("demand", 2) if policy.name == "A" else F.col("demand")
+    demand = round_half_even(F.col("demand"), 2) if policy.name == "A" else F.col("demand")
     level = [] if policy.name == "A" else [F.col("demand").alias("demand_level")]
     report = F.struct(
         product_info(df, analysed_at).alias("product_info"),

@@ -520,7 +520,7 @@ def forecast_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_first7(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _decided(spark, sf_dir, POLICY_A).withColumn("forecast", forecast.first_days(F.col("forecast")))
-    return first.select(*ROW, F.posexplode("forecast").alias("day", "d")).select(
+    return first.select(*ROW, F.posexplode_outer("forecast").alias("day", "d")).select(
         *ROW, "day", F.col("d.date").alias("forecast_date"), F.col("d.demand").alias("forecast_demand")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.functions.scalar import round_half_even
 from stockloom.functions.values import ERROR_REPORT, POLICY_A, Policy
 from stockloom.operators import alerts, cleanse, demand, forecast, health, pricing, reorder, report
 
@@ -15,7 +16,7 @@ def decide(
     """All decision columns for rows that carry ``demand`` and validated request fields."""
     out = forecast.forecast_totals(forecast.daily_forecast(df, policy, as_of, noise))
     if policy.name == "A":
-        out = out.withColumn("lead_time_demand", F.bround("lead_time_demand", 2))
+        out = out.withColumn("total_30day", round_half_even(F.col("total_30day"), 2))
     out = out.withColumn("confidence", F.lit(policy.confidence if confidence is None else confidence))
     out = reorder.reorder(pricing.price(out, policy), policy)
     out = health.health_score(alerts.business_alerts(out, policy), policy)
@@ -74,7 +75,7 @@ def bulk_results(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns shown after an upload."""
     return scored.select(
         *keep, "store_id", "product_id", "category",
-        F.bround("demand", 2).alias("predicted_demand"),
+        round_half_even(F.col("demand"), 2).alias("predicted_demand"),
         F.col("order_quantity").alias("reorder_qty"),
         "recommended_price", "health_score",
     )

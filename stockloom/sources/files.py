@@ -36,7 +36,7 @@ def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
 
 def ensemble_weights_or_equal(metrics: DataFrame, models: tuple[str, ...]) -> DataFrame:
     """The weights stored with the hybrid's metrics; where none are stored every model gets the same weight."""
-    stored = metrics.filter(F.col("model") == "hybrid").agg(F.max(F.struct("weights"))["weights"].alias("stored"))
+    stored = metrics.filter(F.col("model") == "hybrid").agg(F.first("weights", ignorenulls=True).alias("stored"))
     even: Column = F.map_from_arrays(
         F.array(*map(F.lit, models)), F.array(*[F.lit(1.0 / len(models)) for _ in models])
     )
@@ -51,8 +51,8 @@ def read_training_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.HISTORY).parquet(path)
+    return spark.read.schema(schemas.HISTORY).parquet(path).select(*schemas.HISTORY.names)
 
 
 def read_alert_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ALERT_EVENTS).parquet(path)
+    return spark.read.schema(schemas.ALERT_EVENTS).parquet(path).select(*schemas.ALERT_EVENTS.names)
