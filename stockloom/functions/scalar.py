@@ -12,6 +12,7 @@ from stockloom.functions.values import NULL_TOKENS
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TWO32 = 4294967296.0
+WHOLE = 4503599627370496.0  # 2**52: a double this large has no fraction
 SPLITTER = 134217729.0  # 2**27 + 1: cuts a double's 53 digits into two halves
 
 
@@ -55,7 +56,8 @@ def round_half_even(c: Column, digits: int = 0) -> Column:
     upper = c * SPLITTER - (c * SPLITTER - c)
     error = (upper * scale - scaled) + (c - upper) * scale
     tie = (F.abs(scaled - F.rint(scaled)) == 0.5) & (error != 0)
-    return F.when(tie, scaled + 0.5 * F.signum(error)).otherwise(F.rint(scaled)) / scale
+    rounded = F.when(tie, scaled + 0.5 * F.signum(error)).otherwise(F.rint(scaled)) / scale
+    return F.when(F.abs(scaled) < WHOLE, rounded).otherwise(c)
 
 
 def fixed_text(c: Column, digits: int) -> Column:
