@@ -746,9 +746,12 @@ written AS (
       THEN list_transform(alerts, lambda a: {_line(_B, 'a."type"', "a.severity || ' - ' || a.message", 'a.action')})
       ELSE [{_line(_B, 'No active alerts', 'NULL')}] END) AS ls
   FROM reports
-),
-numbered AS (SELECT prediction_id, unnest(range(len(ls))) AS line, unnest(ls) AS l FROM written)""",
-    "SELECT prediction_id, CAST(line AS INT) AS line, l.section AS section, l.key AS key, l.value AS value, l.extra AS extra FROM numbered")
+)""", """SELECT prediction_id, array_to_string(list_transform(ls, lambda l: concat_ws(',',
+  CASE WHEN regexp_matches(l.section, '[",]') THEN '"' || replace(l.section, '"', '""') || '"' ELSE l.section END,
+  CASE WHEN regexp_matches(l.key, '[",]') THEN '"' || replace(l.key, '"', '""') || '"' ELSE l.key END,
+  CASE WHEN regexp_matches(l.value, '[",]') THEN '"' || replace(l.value, '"', '""') || '"' ELSE l.value END,
+  CASE WHEN regexp_matches(l.extra, '[",]') THEN '"' || replace(l.extra, '"', '""') || '"' ELSE l.extra END)), chr(10)) AS export
+FROM written""")
 put("export_history", HISTORY, """SELECT prediction_id, user_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, store_id,
   product_id, category, demand_forecast, recommended_price, reorder_quantity, health_score FROM history""")
 put("export_history_csv", HISTORY, """SELECT prediction_id, strftime(created_at, '%Y-%m-%d') AS date, store_id, product_id, category,

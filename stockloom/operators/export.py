@@ -39,12 +39,8 @@ def _line(section: str, key: Column | str, value: Column, extra: Column | None =
     )
 
 
-def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
-    """Each report as ordered (section, key, value) lines, the forecast cut to seven days.
-
-    The lines of a report come from one array, so no sort is needed; write them with a quoting CSV writer. The array is
-    never empty; the outer explode only keeps the optimizer from pushing a filter on it below the decision steps.
-    """
+def _report_line_array(exported_at: str) -> Column:
+    """The ordered (section, key, value, extra) lines of a report, the forecast cut to seven days."""
     info, demand = F.col("report.product_info"), F.col("report.demand_forecast")
     pricing, stock = F.col("report.pricing_strategy"), F.col("report.inventory_management")
     fixed = F.array(
@@ -86,10 +82,33 @@ def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
     alerts = F.when(F.size("report.business_alerts") > 0, raised).otherwise(
         F.array(_line(SECTION_ALERTS, NO_ALERTS, F.lit(None)))
     )
-    lines = df.select("prediction_id", F.posexplode_outer(F.concat(fixed, daily, decisions, alerts)).alias("line", "l"))
+    return F.concat(fixed, daily, decisions, alerts)
+
+
+def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
+    """Each report as ordered lines, for a quoting CSV writer.
+
+    The lines of a report come from one array, so no sort is needed. The array is never empty; the outer explode only
+    keeps the optimizer from pushing a filter on it below the decision steps.
+    """
+    lines = df.select("prediction_id", F.posexplode_outer(_report_line_array(exported_at)).alias("line", "l"))
     return lines.select("prediction_id", "line", "l.*")
 
 
+def _quoted(value: Column) -> Column:
+    escaped = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike('[",\\n]'), escaped).otherwise(value)
+
+
+def report_csv(df: DataFrame, exported_at: str) -> DataFrame:
+    """Each report as one CSV text."""
+    rows = F.transform(
+        "lines", lambda l: F.concat_ws(",", *[_quoted(l[part]) for part in ("section", "key", "value", "extra")])
+    )
+    lined = df.select("prediction_id", _report_line_array(exported_at).alias("lines"))
+    return lined.select("prediction_id", F.array_join(rows, "\n").alias("export"))
+
+
 def history_json(history: DataFrame) -> DataFrame:
     """A user's history, ready for a JSON writer; the health score comes from the stored report, 0 if it has none."""
     score = F.coalesce(F.get_json_object("prediction_result", "$.overall_health_score").try_cast("int"), F.lit(0))

@@ -196,7 +196,7 @@ def export_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def export_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.report_lines(_reported(spark, sf_dir), EXPORTED_AT)
+    return export.report_csv(_reported(spark, sf_dir), EXPORTED_AT)
 
 
 @query

@@ -1,5 +1,6 @@
 """Stacking, streaming, files, and the registered queries against their SQL."""
 
+import csv
 import datetime
 from pathlib import Path
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from checks.compare import rows_of
 from checks.oracles import ORACLES
-from stockloom.operators import dashboard, history, stacking
+from stockloom.functions.values import POLICY_A
+from stockloom.operators import dashboard, export, history, report, stacking
+from stockloom.plans import scoring
 from stockloom.plans.catalog import QUERIES
 from stockloom.sources import files, sinks
 from stockloom.streaming import alerts as alert_stream
@@ -95,6 +98,21 @@ def test_deep_page_equals_top_k(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
+def test_report_lines_hold_seven_days(spark):
+    rows = spark.createDataFrame(
+        [("S1", 'P "1", large', 60.0, 100.0, 20.0, 18.0, 10.0)],
+        "store_id string, product_id string, demand double, inventory_level double, price double, competitor_price double, discount double",
+    )
+    scored = report.full_report(scoring.decide(rows, POLICY_A, "2024-01-01"), POLICY_A, "2024-01-01 00:00:00")
+    scored = scored.withColumn("prediction_id", F.lit("x"))
+    lines = export.report_lines(scored, "2024-01-02 00:00:00").orderBy("line").collect()
+    daily = [(r.key, float(r.value)) for r in lines if r.section == export.SECTION_DAILY]
+    assert [d for d, _ in daily] == [f"2024-01-0{i}" for i in range(1, 8)] and daily[5][1] == 72.0
+    text = export.report_csv(scored, "2024-01-02 00:00:00").first().export
+    parsed = list(csv.reader(text.split("\n")))
+    assert [r[2] for r in parsed if r[1] == "Product"] == ['P "1", large'] and len(parsed) == len(lines)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
