@@ -29,7 +29,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``each`` (columns as lists in, columns as lists out) to slices of about four million characters."""
     names = df.columns
     target = arrow_schema(schema)
@@ -42,8 +42,8 @@ def by_batch(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
