@@ -3,24 +3,31 @@
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept, and returns a table; all but the last return
 the columns of documents. Between stages the table is written to the shared folder as Parquet and read back.
 
-Nulls, empty texts, repeated rows and empty tables have the results that each operator's module states. A repeated document id
-is one document for the duplicate stage: the rows of a component's smallest id stay, once each distinct row.
+Nulls, empty texts, repeated rows and empty tables have the results that each operator's module states; columns beyond those of
+documents pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stockloom.llm import mixing, packing, rules
+from stockloom.llm import mixing, packing, rules, secrets, simhash
 from stockloom.llm.shared import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
-    judged = rules.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    return rules.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by a mark and ``n_chars`` counted anew."""
+    return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,13 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("source_mix", source_mix), ("packing", sequences)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("packing", sequences),
+]
 ORACLE_SQL = None
 
 

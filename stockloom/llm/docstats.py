@@ -22,7 +22,7 @@ RATIOS = (
     "punctuation_share", "other_share", "line_words", "end_share", "short_share", "top_word_share", "symbol_words",
 )
 FEATURES = (*COUNTS, *RATIOS)
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in RATIOS)
+SCHEMA = "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in RATIOS)
 
 _words = re.compile(WORD).findall
 _symbols = re.compile(f"[{re.escape(SYMBOLS)}]").findall
@@ -85,13 +85,14 @@ _KINDS = _kinds()
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and :data:`FEATURES` of every document, in one pass over the texts."""
+    """``doc_id``, a hash of the text and :data:`FEATURES` of every document, in one pass over the texts."""
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         columns = list(zip(*map(statistics, rows["text"]), strict=True))
-        return {"doc_id": rows["doc_id"], **dict(zip(FEATURES, columns, strict=True))}
+        return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], **dict(zip(FEATURES, columns, strict=True))}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, SCHEMA)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return by_batch(keyed, each, SCHEMA)
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -140,3 +140,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rules = learn(x, y) if len(set(y.tolist())) > 1 else []
     judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", rule_expression(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns; a row is known by its id and a hash of its text."""
+    rejected = judge(docs, labels, sample_rows).filter(~F.col("kept"))
+    rejected = rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("text_key").alias("_rejected_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_rejected_id")) & (F.xxhash64("text") == F.col("_rejected_key"))
+    return docs.join(rejected, same, "left_anti")

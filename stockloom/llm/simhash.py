@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.components import component_roots
@@ -61,13 +61,14 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and the fingerprint as a signed long."""
+    """``doc_id``, a hash of the text, and the fingerprint as a signed long."""
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         found = np.array([fingerprint(t, words, seed) for t in rows["text"]], dtype=np.uint64).view(np.int64)
-        return {"doc_id": rows["doc_id"], "fingerprint": found}
+        return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "fingerprint": found}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, fingerprint long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return by_batch(keyed, each, "doc_id long, text_key long, fingerprint long")
 
 
 def band_edges(bits: int, bands: int) -> list[int]:
@@ -251,13 +252,30 @@ def _gather(value: Column, bits: list[int]) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document; the component's smallest document id names it."""
+    """``doc_id, fingerprint, component_id`` of every document; the component's smallest document id names it.
+
+    ``text_key`` is a hash of the document's text, ``component_key`` that of the document the component is named after.
+    """
     marked = stored(fingerprints(docs, words, seed), "simhash")
-    values = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-values")
-    roots = component_roots(near_links(values, radius))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least")
+    values = stored(marked.groupBy("fingerprint").agg(least), "simhash-values")
+    roots = component_roots(near_links(values.select("fingerprint"), radius))
     rooted = values.join(roots, values["fingerprint"] == roots["node"], "left")
     rooted = rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fingerprint", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    classes = rooted.drop("least").join(named, "root").select(
+        "fingerprint", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("component_key")
+    )
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return marked.join(classes, "fingerprint").select("doc_id", shown, "component_id")
+    return marked.join(classes, "fingerprint").select("doc_id", shown, "component_id", "text_key", "component_key")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each component, with its own columns: the one that names it."""
+    kept = near_duplicates(docs, words, radius, seed).select(
+        F.col("component_id").alias("_kept_id"), F.col("component_key").alias("_kept_key")
+    ).distinct()
+    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_key": F.xxhash64("text")})
+    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_key") == F.col("_kept_key"))
+    first = F.row_number().over(Window.partitionBy("_own_id", "_own_key").orderBy(F.lit(0)))
+    return keyed.join(kept, same, "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
