@@ -112,7 +112,7 @@ class BitPlanes:
         alive = np.packbits(mask, bitorder="little").view("<u8").copy()
         at = np.flatnonzero(alive)
         alive = alive[at]
-        counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(self.radius.bit_length())]
+        counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(max(1, self.radius.bit_length()))]
         skip, shift = divmod(k, 64)
         for number, plane in enumerate(self.planes):
             if not len(at):
