@@ -24,7 +24,7 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark = build_session("local[8]", **{
+    spark = build_session("local[4]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "10g",
     })

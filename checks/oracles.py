@@ -46,6 +46,7 @@ raw AS (
     CASE day(sale_date) WHEN 19 THEN 'yes' WHEN 18 THEN 'on' WHEN 17 THEN 'Yes' ELSE CAST(promotion AS VARCHAR) END AS promotion,
     CASE day(sale_date) WHEN 16 THEN 'Monsoon' WHEN 15 THEN '' ELSE season END AS season,
     CASE day(sale_date) WHEN 14 THEN 'Hot' ELSE weather END AS weather,
+    concat_ws('|', CAST(sale_date AS VARCHAR), store_id, product_id) AS request_id,
     array_to_string(list_transform(string_split(lower(region), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS region
   FROM retail_fact
 )"""
@@ -55,7 +56,11 @@ _BULK = (
     "store_id", "product_id", "category", "price", "inventory_level", "units_sold", "units_ordered", "discount",
     "competitor_price", "promotion", "season", "weather", "region",
 )
-UPLOAD = RAW + ",\nupload AS (SELECT sale_date, " + ", ".join(
+_UPLOADED = (
+    "store_id", "product_id", "category", "price", "inventory_level", "units_sold", "units_ordered", "discount",
+    "competitor_price", "promotion", "season", "weather", "region",
+)
+UPLOAD = RAW + ",\nupload AS (SELECT sale_date, request_id, " + ", ".join(
     f"CASE WHEN trim({c}) NOT IN {_NA} THEN trim({c}) END AS {c}" for c in _BULK) + " FROM raw)"
 
 
@@ -71,7 +76,8 @@ numbers AS (
   FROM upload
 ),
 bulk AS (
-  SELECT sale_date, coalesce(store_id, 'UNKNOWN') AS store_id, coalesce(product_id, 'UNKNOWN') AS product_id,
+  SELECT sale_date, request_id, CAST(to_json(struct_pack(sale_date := sale_date, """ + ", ".join(f"{c} := {c}" for c in _UPLOADED) + """)) AS VARCHAR) AS input_json,
+    coalesce(store_id, 'UNKNOWN') AS store_id, coalesce(product_id, 'UNKNOWN') AS product_id,
     coalesce(category, 'General') AS category, coalesce(season, 'Normal') AS season,
     coalesce(n_price, 50.0) AS price,
     CAST(trunc(coalesce(n_inventory, 100)) AS INT) AS inventory_level,
@@ -90,6 +96,12 @@ bulk AS (
 )"""
 
 
+RAW_INPUT = "to_json(struct_pack(" + ", ".join(
+    f"{c} := CAST({c} AS VARCHAR)" if c == "sale_date" else f"{c} := {c}" for c in (
+        "sale_date", "store_id", "product_id", "category", "region", "inventory_level", "units_ordered", "units_sold",
+        "price", "discount", "competitor_price", "weather", "promotion", "season")) + "))"
+
+
 def validated(source: str) -> str:
     """Zero or missing numbers of typed rows replaced by the defaults."""
     def filled(c: str, default: float) -> str:
@@ -98,7 +110,7 @@ def validated(source: str) -> str:
 valid AS (
   SELECT * REPLACE ({filled('inventory_level', 100.0)} AS inventory_level, {filled('units_sold', 40.0)} AS units_sold,
     {filled('price', 30.0)} AS price, {filled('discount', 10.0)} AS discount,
-    {filled('competitor_price', 28.0)} AS competitor_price)
+    {filled('competitor_price', 28.0)} AS competitor_price){", " + RAW_INPUT + " AS input_json" if source == "retail_fact" else ""}
   FROM {source}
 ),
 est AS (
@@ -109,6 +121,21 @@ est AS (
 
 
 EST = FACT + validated("retail_fact")
+# the offline rules: no zero is replaced, classes outside the lists become the first
+EST_B = FACT + """,
+valid AS (
+  SELECT * REPLACE (
+    CASE WHEN category IN ('Groceries', 'Toys', 'Electronics', 'Clothing', 'Furniture') THEN category ELSE 'Groceries' END AS category,
+    CASE WHEN region IN ('North', 'South', 'East', 'West') THEN region ELSE 'North' END AS region,
+    CASE WHEN weather IN ('Sunny', 'Rainy', 'Cloudy', 'Snowy') THEN weather ELSE 'Sunny' END AS weather,
+    CASE WHEN season IN ('Winter', 'Spring', 'Summer', 'Autumn') THEN season ELSE 'Winter' END AS season)
+  FROM retail_fact
+),
+est AS (
+  SELECT *, greatest(10.0, units_sold * (1.0 - (price / 100) * 0.1) * (1.0 + (discount / 100) * 0.5)
+    * CASE WHEN promotion <> 0 THEN 1.3 ELSE 1.0 END) AS demand
+  FROM valid
+)"""
 KEY = "sale_date, store_id, product_id"
 AS_OF = "DATE '2024-01-01'"
 
@@ -325,7 +352,7 @@ done AS (
 
 
 DONE_A = EST + PRICED_A + REORDER_A + finish("A")
-DONE_B = EST + forecast("B") + PRICED_B + REORDER_B + finish("B")
+DONE_B = EST_B + forecast("B") + PRICED_B + REORDER_B + finish("B")
 DONE_A_FC = EST + forecast("A") + PRICED_A + REORDER_A + finish("A")
 
 _ID = "sha256(concat_ws('_', 'run1', store_id, product_id, CAST(sale_date AS VARCHAR)))"
@@ -392,17 +419,20 @@ _HISTORY_COLUMNS = (
     "health_score, " + ts("created_at")
 )
 
+_REQUEST_ID = "sha256('run1_' || concat_ws('|', strftime(created_at, '%Y-%m-%d'), store_id, product_id))"
+
 # --- sources ---
 put("scan_sales", FACT, f"""SELECT {ROW}, category, region, inventory_level, units_ordered, units_sold AS demand_forecast,
   price, discount, weather, CAST(promotion AS VARCHAR) AS promotion, competitor_price, season, units_sold FROM retail_fact""")
-put("scan_bulk", UPLOAD, "SELECT * FROM upload")
+put("scan_bulk", UPLOAD, "SELECT * EXCLUDE (request_id) FROM upload")
 put("scan_history", HISTORY, f"SELECT {_HISTORY_COLUMNS} FROM history")
-put("stream_score", HISTORY, f"SELECT {_HISTORY_COLUMNS} FROM history")
+put("stream_score", HISTORY, f"""SELECT {_HISTORY_COLUMNS.replace('prediction_id', _REQUEST_ID + ' AS prediction_id')}
+FROM history""")
 
 # --- cleansing ---
 put("bulk_mapped", UPLOAD, "SELECT " + ", ".join("CAST(NULL AS VARCHAR) AS weather" if c == "weather" else c for c in _BULK)
     + " FROM upload")
-put("bulk_normalized", BULK, "SELECT * FROM bulk")
+put("bulk_normalized", BULK, "SELECT * EXCLUDE (request_id, input_json) FROM bulk")
 
 
 def _api(c: str, default: float) -> str:
@@ -619,12 +649,12 @@ put("demand_heuristic", EST, f"""SELECT {ROW}, greatest(10.0, units_sold * (1.0
   * (0.9::DOUBLE + (1.1::DOUBLE - 0.9::DOUBLE) * {unif("'heuristic'")})) AS demand FROM valid""")
 put("demand_naive", EST, f"SELECT {ROW}, greatest(10.0, units_sold * (0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * {unif(chr(39) + 'naive' + chr(39))})) AS demand FROM valid")
 put("forecast_a", EST + forecast("A", True), f"SELECT {ROW}, dates, demands, trends FROM fc")
-put("forecast_b", EST + forecast("B", True), f"SELECT {ROW}, dates, demands, trends FROM fc")
+put("forecast_b", EST_B + forecast("B", True), f"SELECT {ROW}, dates, demands, trends FROM fc")
 put("forecast_trend", EST + forecast("A"), f"SELECT {ROW}, dates, trends FROM fc")
-put("forecast_totals", EST + forecast("B"), f"SELECT {ROW}, round(total_30day, 6) AS total_30day, round(lead, 6) AS lead_time_demand FROM fc")
+put("forecast_totals", EST_B + forecast("B"), f"SELECT {ROW}, round(total_30day, 6) AS total_30day, round(lead, 6) AS lead_time_demand FROM fc")
 put("forecast_first7", EST + forecast("A"), f"""SELECT {ROW}, CAST(i AS INT) AS day, CAST(d AS VARCHAR) AS forecast_date,
   v AS forecast_demand FROM days WHERE i < 7""")
-put("forecast_normalized", EST + forecast("B"), f"""SELECT {ROW}, CASE WHEN day(sale_date) % 3 = 2 THEN '' ELSE dates END AS dates,
+put("forecast_normalized", EST_B + forecast("B"), f"""SELECT {ROW}, CASE WHEN day(sale_date) % 3 = 2 THEN '' ELSE dates END AS dates,
   CASE WHEN day(sale_date) % 3 = 2 THEN '' ELSE demands END AS demands,
   CASE WHEN day(sale_date) % 3 = 2 THEN '' ELSE trends END AS trends FROM fc""")
 _PRICE_COLUMNS = "recommended_discount, pricing_strategy, pricing_reasoning, recommended_price"
@@ -632,6 +662,7 @@ _REORDER_COLUMNS = "current_inventory, days_of_supply, reorder_point, order_quan
 put("pricing_a", DONE_A, f"SELECT {ROW}, {_PRICE_COLUMNS} FROM done")
 put("pricing_b", DONE_B, f"SELECT {ROW}, {_PRICE_COLUMNS} FROM done")
 put("price_impact", DONE_A, f"SELECT {ROW}, volume_change, revenue_change, old_revenue, new_revenue FROM done")
+put("price_impact_b", DONE_B, f"SELECT {ROW}, volume_change, revenue_change, old_revenue, new_revenue FROM done")
 put("reorder_a", DONE_A, f"SELECT {ROW}, {_REORDER_COLUMNS}, safety_stock FROM done")
 put("reorder_b", DONE_B, f"SELECT {ROW}, {_REORDER_COLUMNS}, lead_time_demand FROM done")
 put("health_a", DONE_A, f"SELECT {ROW}, health_score FROM done")
@@ -639,11 +670,8 @@ put("health_b", DONE_B, f"SELECT {ROW}, health_score FROM done")
 put("health_band", DONE_A, f"""SELECT {ROW}, health_score,
   CASE WHEN health_score >= 80 THEN 'green' WHEN health_score >= 60 THEN 'yellow' ELSE 'red' END AS health_band FROM done""")
 put("stockout_date", DONE_B, f"SELECT {ROW}, CAST(stockout_date AS VARCHAR) AS stockout_date FROM done")
-put("stockout_risk", DONE_B + """,
-a1 AS (SELECT *, greatest(0.0, inventory_level) / greatest(0.1, demand) AS dos_a FROM done)""", f"""SELECT {ROW},
-  CASE WHEN dos_a < 7 THEN 'High risk - stockout in ' || {txt('dos_a', 0)} || ' days'
-    WHEN dos_a < 10 THEN 'Medium risk - monitor closely' ELSE 'Low risk - sufficient inventory' END AS risk_a,
-  stockout_risk AS risk_b FROM a1""")
+put("stockout_risk", DONE_B + ", risk_a AS (WITH " + DONE_A.strip() + f" SELECT {KEY}, stockout_risk AS risk_a FROM done)",
+    f"SELECT {ROW}, risk_a, stockout_risk AS risk_b FROM done JOIN risk_a USING ({KEY})")
 put("eoq", EST, f"""SELECT {ROW}, sqrt((2 * (demand * 365) * 50) / (price * 0.25)) AS eoq_a,
   least(sqrt((2 * (demand * 365) * 50) / (price * 0.25)), demand * 90) AS eoq_b, demand * 30 AS eoq_free FROM est""")
 _ALERT_FIELDS = 'a."type" AS "type", a.severity AS severity, a.message AS message, a.details AS details, a.action AS action'
@@ -677,8 +705,12 @@ put("error_report", BULK, """SELECT sale_date, store_id, product_id, category, '
   'Unknown risk due to analysis error' AS stockout_risk, 'SYSTEM_ERROR' AS alert_types, reject_reason AS alert_details,
   50 AS overall_health_score FROM bulk WHERE reject_reason IS NOT NULL""")
 put("bulk_results", BULK + validated("(SELECT * FROM bulk WHERE reject_reason IS NULL)") + PRICED_A + REORDER_A + finish("A"),
-    """SELECT sale_date, store_id, product_id, category, round_even(demand, 2) AS predicted_demand,
+    """SELECT sale_date, sha256('run1_' || request_id) AS id, store_id, product_id, category, round_even(demand, 2) AS predicted_demand,
   order_quantity AS reorder_qty, recommended_price, health_score FROM done""")
+put("bulk_history", BULK + validated("(SELECT * FROM bulk WHERE reject_reason IS NULL)") + PRICED_A + REORDER_A + finish("A"),
+    """SELECT sha256('run1_' || request_id) AS prediction_id, CAST(1 AS BIGINT) AS user_id, store_id, product_id, category,
+  input_json AS input_data, round_even(demand, 2) AS demand_forecast, recommended_price, order_quantity AS reorder_quantity,
+  health_score FROM done""")
 put("top_products", DONE_A, """SELECT product_id, sum(order_quantity) AS total_order_quantity,
   count(*) FILTER (WHERE urgency = 'HIGH') AS high_urgency_rows, round(avg(health_score), 6) AS mean_health_score
 FROM done GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
@@ -700,12 +732,8 @@ _REPORT_STRUCT = """struct_pack(
       stockout_risk := stockout_risk),
     business_alerts := alerts, overall_health_score := health_score)"""
 REPORTS = DONE_A_FC + f",\nreports AS (SELECT *, {_ID} AS prediction_id FROM done JOIN fc USING ({KEY}))"
-_INPUT = """to_json(struct_pack(sale_date := CAST(sale_date AS VARCHAR), store_id := store_id, product_id := product_id,
-  category := category, region := region, inventory_level := inventory_level,
-  units_ordered := coalesce(nullif(units_ordered, 0), 50.0), units_sold := units_sold, price := price, discount := discount,
-  competitor_price := competitor_price, weather := weather, promotion := promotion, season := season))"""
 put("history_rows", REPORTS, f"""SELECT prediction_id, {_USER} AS user_id, store_id, product_id, category,
-  CAST({_INPUT} AS VARCHAR) AS input_data, CAST(to_json({_REPORT_STRUCT}) AS VARCHAR) AS prediction_result,
+  CAST(input_json AS VARCHAR) AS input_data, CAST(to_json({_REPORT_STRUCT}) AS VARCHAR) AS prediction_result,
   round_even(demand, 2) AS demand_forecast, recommended_price, order_quantity AS reorder_quantity, health_score,
   strftime(sale_date, '%Y-%m-%d 00:00:00') AS created_at FROM reports""")
 _HEADER = """export_info := struct_pack(exported_at := '2024-01-02 00:00:00', prediction_id := prediction_id,

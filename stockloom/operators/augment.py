@@ -26,7 +26,7 @@ def product_mean_demand(df: DataFrame) -> DataFrame:
 def synthetic_sales(df: DataFrame, noise: str = "off", flags: Sequence[str] = SALES_FLAGS, seed: int = 42) -> DataFrame:
     """A rule-based copy of the sales table: units from the product's mean, price, promotion and month.
 
-    The mean price is one row; the product means are broadcast or salted by their number.
+    The mean price is one row; the product means are joined as their size allows.
     """
     mean_price = df.agg(F.round(F.avg("price"), 9).alias("_mean_price"))
     out = lookup_join(df, product_mean_demand(df), ["product_id"], spread=["sale_date", "store_id"])

@@ -79,6 +79,23 @@ def validate(df: DataFrame, zero_is_missing: bool = True) -> DataFrame:
     return df.withColumns(columns)
 
 
+def coerce(df: DataFrame) -> DataFrame:
+    """The offline rules' numbers: what is missing or not a number becomes 0, and a zero stays zero.
+
+    A field that the table lacks altogether gets the default of a single request.
+    """
+    kinds = dict(df.dtypes)
+    columns = {}
+    for name, default in REQUEST_DEFAULTS.items():
+        if name not in kinds:
+            columns[name] = F.lit(default)
+        else:
+            raw = F.col(name)
+            value = number(raw) if kinds[name] == "string" else no_nan(raw.cast("double"))
+            columns[name] = F.coalesce(value, F.lit(0.0))
+    return df.withColumns(columns)
+
+
 def request_date(df: DataFrame, as_of: str) -> DataFrame:
     """``sale_date`` as a date; the run date where it is missing or unreadable."""
     return df.withColumn("sale_date", F.coalesce(F.col("sale_date").try_cast("date"), F.lit(as_of).cast("date")))

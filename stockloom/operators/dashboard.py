@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from stockloom.operators.ordering import group_position
 
 PAGE = 10
-# Pages that end beyond this rank are located by range positions instead of a top-k.
-TOP_K_LIMIT = 500
 
 
 def _newest_first() -> list[Column]:
@@ -55,11 +53,15 @@ def newest_open_alerts(state: DataFrame, n: int = 10) -> DataFrame:
     return latest_per_user(rows, n, [F.col("created_at").desc(), F.col("id")])
 
 
-def history_page(history: DataFrame, page: int, per_page: int = PAGE, top_k_limit: int = TOP_K_LIMIT) -> DataFrame:
-    """Page ``page`` of each user's history, newest first, with its bounds and the number of pages."""
+def history_page(history: DataFrame, page: int, per_page: int = PAGE, ranged: bool = False) -> DataFrame:
+    """Page ``page`` of each user's history, newest first, with its bounds and the number of pages.
+
+    A top-k by default, whose state is all rows up to the page. ``ranged`` finds the page by range positions instead: for pages so
+    deep that the rows before them are too many for one task.
+    """
     first, last = (page - 1) * per_page + 1, page * per_page
     rows = history.select("user_id", "prediction_id", "store_id", "product_id", "demand_forecast", "created_at")
-    if last <= top_k_limit:
+    if not ranged:
         page_rows = latest_per_user(rows, last, _newest_first()).filter(F.col("rank") >= first)
     else:
         aged = rows.withColumn("_age", -F.unix_micros(F.col("created_at").cast("timestamp")))

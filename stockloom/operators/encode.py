@@ -42,14 +42,12 @@ def _lookup_classes(
     df: DataFrame, classes: DataFrame, columns: Sequence[str], value: str, suffix: str, default: Column
 ) -> DataFrame:
     classes = pin(classes)
-    # one row per encoded column
-    sizes = {r["column"]: r["count"] for r in classes.groupBy("column").count().collect()}
     spread = [k for k in ROW_KEY if k in df.columns] or list(columns)
     out = df
     for c in columns:
         dim = classes.filter(F.col("column") == c).select(F.col("label").alias("_label"), F.col(value).alias("_value"))
         out = out.withColumn("_label", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        out = lookup_join(out, dim, ["_label"], spread, rows=sizes.get(c, 0))
+        out = lookup_join(out, dim, ["_label"], spread)
         out = out.withColumn(c + suffix, F.coalesce("_value", default)).drop("_label", "_value")
     return out
 

@@ -28,37 +28,81 @@ def with_trend(days: Column) -> Column:
 
 def _calendar(policy: Policy, as_of: str) -> Column:
     """The forecast days with their factors: a constant, since they depend on the run date only."""
+    days, pairs = _levels(policy, as_of)
+    return F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(day).alias("date"), F.lit(level).alias("level"), F.lit(season).alias("season"))
+        for i, (day, (level, season)) in enumerate(zip(days, pairs, strict=True))
+    ])
+
+
+def _levels(policy: Policy, as_of: str) -> tuple[list[datetime.date], list[tuple[float, float]]]:
+    """The forecast days, and the weekday and month factor of each: a handful of different pairs."""
     start = datetime.date.fromisoformat(as_of)
     days = [start + datetime.timedelta(days=i) for i in range(HORIZON)]
-    return F.array(*[
+    level = [policy.weekend_factor if d.weekday() >= 5 else policy.weekday_factor for d in days]
+    return days, [(x, policy.month_factors[d.month - 1]) for x, d in zip(level, days, strict=True)]
+
+
+def steady_forecast(df: DataFrame, policy: Policy, as_of: str) -> DataFrame:
+    """``forecast`` without noise, with ``total_30day`` and ``lead_time_demand``.
+
+    A row has as many different daily values as there are pairs of factors. Each is rounded once, as a column; the days only pick
+    among them, and the totals add them up in order of the days.
+    """
+    days, pairs = _levels(policy, as_of)
+    kinds = sorted(set(pairs))
+    raw = {f"_raw{k}": F.col("demand") * level * season for k, (level, season) in enumerate(kinds)}
+    value = {
+        f"_value{k}": F.greatest(F.lit(policy.daily_floor), round_half_even(F.col(f"_raw{k}"), 2)) for k in range(len(kinds))
+    }
+    kind = [kinds.index(p) for p in pairs]
+    steps = sorted({(b, a) for b, a in zip(kind, kind[1:], strict=False) if a != b})
+
+    def trend(before: int, after: int) -> Column:
+        x, y = F.col(f"_value{before}"), F.col(f"_value{after}")
+        return F.when(y > x, "Up").when(y < x, "Down").otherwise("Stable")
+
+    calendar = F.array(*[
         F.struct(
-            F.lit(i).alias("i"),
-            F.lit(day).alias("date"),
-            F.lit(policy.weekend_factor if day.weekday() >= 5 else policy.weekday_factor).alias("level"),
-            F.lit(policy.month_factors[day.month - 1]).alias("season"),
+            F.lit(day).alias("date"), F.lit(k + 1).alias("kind"),
+            F.lit(2 + steps.index((b, k)) if b is not None and b != k else 1).alias("step"),
         )
-        for i, day in enumerate(days)
+        for day, k, b in zip(days, kind, [None, *kind[:-1]], strict=True)
     ])
+    out = df.withColumns(raw).withColumns(value)
+    out = out.withColumns({
+        "_values": F.array(*value), "_trends": F.array(F.lit("Stable"), *(trend(b, a) for b, a in steps)),
+        "total_30day": sum((F.col(f"_value{k}") for k in kind), F.lit(0.0)),
+        "lead_time_demand": sum((F.col(f"_value{k}") for k in kind[:LEAD_DAYS]), F.lit(0.0)),
+    })
+    picked = F.transform(calendar, lambda d: F.struct(
+        d["date"].alias("date"), F.element_at(F.col("_values"), d["kind"]).alias("demand"),
+        F.element_at(F.col("_trends"), d["step"]).alias("trend"),
+    ))
+    return out.withColumn("forecast", picked).drop(*raw, *value, "_values", "_trends")
+
+
+def forecast_with_totals(df: DataFrame, policy: Policy, as_of: str, noise: str = "off") -> DataFrame:
+    if noise == "off":
+        return steady_forecast(df, policy, as_of)
+    return forecast_totals(daily_forecast(df, policy, as_of, noise))
 
 
 def daily_forecast(df: DataFrame, policy: Policy, as_of: str, noise: str = "off", seed: int = 42) -> DataFrame:
     """Add ``forecast``: one element for each of the 30 days from the run date."""
+    if noise == "off":
+        return steady_forecast(df, policy, as_of).drop("total_30day", "lead_time_demand")
     keys = [F.col(c) for c in NOISE_KEY if c in df.columns]
-    days = _calendar(policy, as_of)
-    if noise != "off":
-        days = F.transform(days, lambda d: F.struct(
-            d.alias("day"), keyed_digest(keys, F.concat(F.lit("day"), d["i"].cast("string")), seed).alias("digest")
-        ))
+    days = F.transform(_calendar(policy, as_of), lambda d: F.struct(
+        d.alias("day"), keyed_digest(keys, F.concat(F.lit("day"), d["i"].cast("string")), seed).alias("digest")
+    ))
 
     def raw(element: Column) -> Column:
-        day = element if noise == "off" else element["day"]
-        value = F.col("demand") * day["level"] * day["season"]
-        if noise != "off":
-            factor = 1.0 + policy.noise_sd * digest_normal(element["digest"])
-            if policy.noise_low is not None:
-                factor = F.greatest(F.lit(policy.noise_low), F.least(F.lit(policy.noise_high), factor))
-            value = value * factor
-        return F.struct(day["date"].alias("date"), value.alias("raw"))
+        day = element["day"]
+        factor = 1.0 + policy.noise_sd * digest_normal(element["digest"])
+        if policy.noise_low is not None:
+            factor = F.greatest(F.lit(policy.noise_low), F.least(F.lit(policy.noise_high), factor))
+        return F.struct(day["date"].alias("date"), (F.col("demand") * day["level"] * day["season"] * factor).alias("raw"))
 
     def demand(day: Column) -> Column:
         value = F.greatest(F.lit(policy.daily_floor), round_half_even(day["raw"], 2))

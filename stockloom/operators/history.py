@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +17,38 @@ def row_id(run_id: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("_", F.lit(run_id), *[p.cast("string") for p in parts]), 256)
 
 
+def prediction_id(scored: DataFrame, run_id: str) -> Column:
+    """The key of a scored request: of its ``request_id``, if it has one, else of its store, product and date.
+
+    Requests that may be equal, of a stream or an upload, need ``request_id``; see :func:`with_request_id`.
+    """
+    parts = ("request_id",) if "request_id" in scored.columns else ("store_id", "product_id", "sale_date")
+    return row_id(run_id, *map(F.col, parts))
+
+
+def with_request_id(requests: DataFrame, source: str) -> DataFrame:
+    """Number the rows of one source (a file, a micro-batch), so that equal requests stay apart.
+
+    The number is the row's place in its input split: a repeated task gives the same. Ids that the requests bring along stay.
+    """
+    number = F.concat(F.lit(f"{source}#"), F.monotonically_increasing_id().cast("string"))
+    given = [F.col("request_id")] if "request_id" in requests.columns else []
+    return requests.withColumn("request_id", F.coalesce(*given, number))
+
+
 def history_rows(
-    scored: DataFrame, run_id: str, input_columns: Sequence[str], created_at: Column | None = None
+    scored: DataFrame, run_id: str, request: str = "request", created_at: Column | None = None
 ) -> DataFrame:
     """One history row per scored row: request and report as JSON text, the figures asked for later as columns.
 
-    ``scored`` carries ``user_id``, ``sale_date``, ``report`` and the decision columns. The health score is stored as a
+    ``scored`` carries ``user_id``, ``sale_date``, ``report``, the decision columns and ``request``, a struct of the fields as they
+    came in, before any cleansing. The health score is stored as a
     column, so that reading it never parses a report.
     """
     return scored.select(
-        row_id(run_id, F.col("store_id"), F.col("product_id"), F.col("sale_date")).alias("prediction_id"),
+        prediction_id(scored, run_id).alias("prediction_id"),
         "user_id", "store_id", "product_id", "category",
-        F.to_json(F.struct(*input_columns)).alias("input_data"),
+        F.to_json(request, {"ignoreNullFields": "false"}).alias("input_data"),
         F.to_json("report").alias("prediction_result"),
         round_half_even(F.col("demand"), 2).alias("demand_forecast"),
         "recommended_price",
@@ -54,7 +72,7 @@ def alert_rows(scored: DataFrame, run_id: str, created_at: Column | None = None)
     keep = ("user_id", "prediction_id", "store_id", "product_id", "event_at")
     rows = scored.select(
         "user_id", "store_id", "product_id",
-        row_id(run_id, F.col("store_id"), F.col("product_id"), F.col("sale_date")).alias("prediction_id"),
+        prediction_id(scored, run_id).alias("prediction_id"),
         F.concat(F.array_compact(F.array(reorder)), kept).alias("alerts"),
         (F.current_timestamp() if created_at is None else created_at).alias("event_at"),
     )
@@ -75,21 +93,20 @@ def resolve_events(alerts: DataFrame, resolved_at: Column) -> DataFrame:
 
 
 def alert_state(events: DataFrame) -> DataFrame:
-    """Current alerts from their events: resolved once a resolve event is there.
+    """Current alerts from their events: the latest event decides, of equal times the resolving one.
 
-    An aggregate, so the events of one alert are combined before the shuffle.
+    An alert that is raised again is open again, with the text and time of its latest raise. An aggregate, so the events of one
+    alert are combined before the shuffle.
     """
-    raised = F.struct(F.col("event_at").alias("at"), *[
-        c for c in ("user_id", "prediction_id", "store_id", "product_id", "alert_type", "severity", "message", "details")
-    ])
+    fields = ("user_id", "prediction_id", "store_id", "product_id", "alert_type", "severity", "message", "details")
     state = events.groupBy("alert_id").agg(
-        F.min(F.when(F.col("event") == "raise", raised)).alias("r"),
-        F.max(F.when(F.col("event") == "resolve", F.col("event_at"))).alias("resolved_at"),
+        F.max(F.when(F.col("event") == "raise", F.struct(F.col("event_at").alias("at"), *fields))).alias("r"),
+        F.max(F.when(F.col("event") == "resolve", F.col("event_at"))).alias("done_at"),
     )
+    closed = F.coalesce(F.col("done_at") >= F.col("r.at"), F.col("done_at").isNotNull())
     return state.select(
-        "alert_id", *[F.col(f"r.{c}") for c in (
-            "user_id", "prediction_id", "store_id", "product_id", "alert_type", "severity", "message", "details")],
-        F.col("resolved_at").isNotNull().alias("resolved"), F.col("r.at").alias("created_at"), "resolved_at",
+        "alert_id", *[F.col(f"r.{c}") for c in fields], closed.alias("resolved"), F.col("r.at").alias("created_at"),
+        F.when(closed, F.col("done_at")).alias("resolved_at"),
     )
 
 

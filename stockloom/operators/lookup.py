@@ -1,4 +1,4 @@
-"""Many-to-one joins whose broadcast depends on a measured size."""
+"""Many-to-one joins that can spread a hot key."""
 
 from __future__ import annotations
 
@@ -7,32 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.session import pin
-
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
 
 def lookup_join(
-    df: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows: int | None = None,
+    df: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = 1
 ) -> DataFrame:
     """Join ``df`` to ``dim``, which has one row per key.
 
-    ``dim`` is pinned and counted, unless the caller has done so and gives its ``rows``. A small one is broadcast. A larger one is repeated once per salt and the rows of
-    ``df`` take a salt from a hash of their ``spread`` columns, so that a key holding a third of the rows is joined by
-    ``SALTS`` tasks.
+    Spark broadcasts ``dim`` if its measured bytes allow it, and otherwise shuffles both and splits partitions that turn out too
+    large. With ``salts`` every row of ``dim`` is repeated once per salt and the rows of ``df`` take a salt from a hash of their
+    ``spread`` columns: for keys that are known to hold a large share of the rows where adaptive execution is off.
     """
-    if rows is None:
-        dim = pin(dim)
-        rows = dim.count()
-    if rows <= broadcast_rows:
-        return df.join(F.broadcast(dim), list(on), how)
-    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    if salts <= 1:
+        return df.join(dim, list(on), how)
+    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     return df.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

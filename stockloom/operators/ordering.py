@@ -1,7 +1,7 @@
 """Order-dependent operators without a single-task sort.
 
 Rows are range-partitioned on the complete sort key, which also cuts a group that holds a large share of all rows
-into several ranges. The range number is pinned as the column ``segment``; whatever has to cross ranges is carried by
+into several ranges. The range number is pinned as a reserved column; whatever has to cross ranges is carried by
 tables of at most one row per range.
 """
 
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from stockloom.session import pin
 
-SEGMENT = "segment"
+# Reserved: the column remembers, in its metadata, the order it was built on.
+SEGMENT = "__segment"
+ORDER = "order"
 
 
 def segment_count(df: DataFrame) -> int:
@@ -22,19 +24,23 @@ def segment_count(df: DataFrame) -> int:
 
 
 def range_segments(df: DataFrame, order: Sequence[str], segments: int | None = None) -> DataFrame:
-    """Add ``segment``: rows of one segment sort before all rows of the next.
+    """Add the segment number: rows of one segment sort before all rows of the next.
 
-    The result is pinned. Range bounds come from a sample of the input, and a recomputed branch must not see others.
+    The result is pinned. Range bounds come from a sample of the input, and a recomputed branch must not see others. A table that
+    already has segments of this order is returned as it is; segments of another order are an error.
     """
     if SEGMENT in df.columns:
+        built = df.schema[SEGMENT].metadata.get(ORDER)
+        if built != list(order):
+            raise ValueError(f"the table is in segments of {built}, not of {list(order)}")
         return df
     ranged = df.repartitionByRange(segments or segment_count(df), *order)
-    return pin(ranged.withColumn(SEGMENT, F.spark_partition_id()))
+    return pin(ranged.withColumn(SEGMENT, F.spark_partition_id().alias(SEGMENT, metadata={ORDER: list(order)})))
 
 
 def by_segment(df: DataFrame) -> DataFrame:
     """Bring each segment into one partition, ready for windows by segment."""
-    return df.repartition(SEGMENT)
+    return df.repartitionById(segment_count(df), F.col(SEGMENT))
 
 
 def spanning_groups(segmented: DataFrame, keys: Sequence[str]) -> DataFrame:

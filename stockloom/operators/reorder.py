@@ -83,7 +83,7 @@ def reorder_b(df: DataFrame, policy: Policy) -> DataFrame:
         "_days": F.coalesce(
             F.when(F.col("demand") > 0, F.try_divide(F.col("inventory_level"), F.col("demand"))), F.lit(999.0)
         ),
-        "_lead": demand_sum(first_days(F.col("forecast"))),
+        "_lead": F.col("lead_time_demand") if "lead_time_demand" in df.columns else demand_sum(first_days(F.col("forecast"))),
         "stockout_date": stockout_date(F.col("forecast"), F.col("inventory_level")),
     })
     out = out.withColumn("_point", F.col("_lead") + BUFFER_DAYS * F.col("demand"))

@@ -13,8 +13,6 @@ KEYS = ("store_id", "product_id")
 LAGS = (1, 2, 3, 7, 14, 28)
 SPANS = (7, 14, 30)
 STATS = ("mean", "std", "median")
-# A series longer than this is cut into ranges instead of being ordered by one task.
-HOT_GROUP_ROWS = 5_000_000
 
 
 def lag_columns(lags: Sequence[int] = LAGS) -> list[str]:
@@ -73,11 +71,6 @@ def _halo(segmented: DataFrame, order: Sequence[str], depth: int) -> DataFrame:
     )
 
 
-def has_hot_series(df: DataFrame, limit: int) -> bool:
-    """Whether some series has more than ``limit`` rows; counts are combined before the shuffle."""
-    return not df.groupBy(*KEYS).count().filter(F.col("count") > limit).isEmpty()
-
-
 def _with_medians(df: DataFrame, spans: Sequence[int], stats: Sequence[str]) -> DataFrame:
     names = [c for c in rolling_columns(spans, stats) if "_median_" in c]
     return df.withColumns({c: _median(F.col(c)) for c in names})
@@ -103,15 +96,16 @@ def series_features(
     stats: Sequence[str] = STATS,
     include_current: bool = True,
     tie: Sequence[str] = (),
-    hot_rows: int = HOT_GROUP_ROWS,
+    ranged: bool = False,
 ) -> DataFrame:
     """Row lags of units sold and inventory, and rolling statistics of units sold, in date order.
 
-    One shuffle and one sort serve all columns. When a series is too long for one task, or the table already comes in
-    segments, the windows run by segment and series, on rows extended by the few that precede the segment.
+    One shuffle and one sort serve all columns; a series has a row for each day, so one task can order it. With ``ranged``, or when
+    the table already comes in segments, the windows run by segment and series instead, on rows extended by the few that precede
+    the segment: for tables whose series are too long for one task. The result has the same columns either way.
     ``include_current=False`` leaves a row's own value out of its rolling statistics.
     """
-    if SEGMENT not in df.columns and not has_hot_series(df, hot_rows):
+    if SEGMENT not in df.columns and not ranged:
         return whole_series_features(df, lags, spans, stats, include_current, tie)
     order = ["sale_date", *tie]
     segmented = range_segments(df, [*KEYS, *order])
@@ -121,12 +115,15 @@ def series_features(
     )
     w = Window.partitionBy(SEGMENT, *KEYS).orderBy(*order)
     out = by_segment(extended).withColumns(_features(w, lags, spans, stats, include_current))
-    return _with_medians(out.filter(~F.col("_halo")).drop("_halo"), spans, stats)
+    kept = [SEGMENT] if SEGMENT in df.columns else []
+    return _with_medians(out.filter(~F.col("_halo")), spans, stats).select(
+        *kept, *[c for c in df.columns if c != SEGMENT], *lag_columns(lags), *rolling_columns(spans, stats)
+    )
 
 
-def sales_velocity(df: DataFrame, tie: Sequence[str] = (), hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def sales_velocity(df: DataFrame, tie: Sequence[str] = (), ranged: bool = False) -> DataFrame:
     """Rolling 7- and 30-row mean of units sold."""
-    out = series_features(df, lags=(), spans=(7, 30), stats=("mean",), tie=tie, hot_rows=hot_rows)
+    out = series_features(df, lags=(), spans=(7, 30), stats=("mean",), tie=tie, ranged=ranged)
     return out.withColumnsRenamed(
         {"units_sold_rolling_mean_7": "sales_velocity_7d", "units_sold_rolling_mean_30": "sales_velocity_30d"}
     )

@@ -69,7 +69,8 @@ def _decided(spark: SparkSession, sf_dir: str, policy: Policy, **options) -> Dat
 
 def _reported(spark: SparkSession, sf_dir: str, policy: Policy = POLICY_A) -> DataFrame:
     """Scored sales with report, user and prediction id: one user per store, created on the sale date."""
-    scored = scoring.analyse_with_report(retail_fact(spark, sf_dir), policy, AS_OF, ANALYSED_AT)
+    requests = retail_fact(spark, sf_dir).withColumn("request", F.struct(*INPUTS))
+    scored = scoring.analyse_with_report(requests, policy, AS_OF, ANALYSED_AT)
     return scored.withColumns({
         "user_id": F.substr("store_id", F.lit(2)).cast("bigint") - 1,
         "prediction_id": history.row_id(RUN_ID, *[F.col(c) for c in ("store_id", "product_id", "sale_date")]),
@@ -77,7 +78,7 @@ def _reported(spark: SparkSession, sf_dir: str, policy: Policy = POLICY_A) -> Da
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.history_rows(_reported(spark, sf_dir), RUN_ID, INPUTS, F.col("sale_date").cast("timestamp"))
+    return history.history_rows(_reported(spark, sf_dir), RUN_ID, created_at=F.col("sale_date").cast("timestamp"))
 
 
 def _alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "stream")
     requests = retail_fact(spark, sf_dir).withColumns({
         "user_id": F.substr("store_id", F.lit(2)).cast("bigint") - 1,
-        "created_at": F.col("sale_date").cast("timestamp"),
+        "created_at": F.col("sale_date").cast("timestamp"), "request_id": F.concat_ws("|", *ROW),
     })
     sinks.write_json(requests, f"{folder}/requests")
     running = stream.start_scoring(
@@ -216,17 +217,24 @@ def report_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bulk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = scoring.bulk_requests(_upload(spark, sf_dir), keep=("sale_date",))
+    requests = scoring.bulk_requests(_upload(spark, sf_dir, numbered=True), keep=("sale_date", "request_id"))
     scored = scoring.analyse(scoring.accepted(requests), POLICY_A, AS_OF)
-    return scoring.bulk_results(scored, ("sale_date",))
+    return scoring.bulk_results(scored, RUN_ID, ("sale_date",))
+
+
+@query
+def bulk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows of an upload: every accepted row a record of its own, with the text it came as."""
+    rows = scoring.bulk_history(_upload(spark, sf_dir, numbered=True), RUN_ID, 1, AS_OF, ANALYSED_AT, ("sale_date",))
+    return rows.drop("prediction_result", "created_at")
 
 
 # --- cleansing and projections ---
 
 
-def _upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _upload(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """The raw requests as the bulk reader returns them."""
-    raw = raw_requests(spark, sf_dir)
+    raw = raw_requests(spark, sf_dir, numbered)
     return raw.select([scalar.blank_to_null(F.trim(c)).alias(c) for c in raw.columns])
 
 
@@ -388,7 +396,7 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = forecast.daily_forecast(
-        demand.heuristic_demand(cleanse.validate(retail_fact(spark, sf_dir))), POLICY_B, AS_OF
+        demand.heuristic_demand(scoring.cleansed(retail_fact(spark, sf_dir), POLICY_B)), POLICY_B, AS_OF
     )
     return rounded(forecast.forecast_totals(scored).select(*ROW, "total_30day", "lead_time_demand"))
 
@@ -442,7 +450,7 @@ def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def past_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling statistics that leave the row's own value out, by ranges as for a series too long for one task."""
-    out = series.series_features(retail_fact(spark, sf_dir), include_current=False, hot_rows=100)
+    out = series.series_features(retail_fact(spark, sf_dir), include_current=False, ranged=True)
     return rounded(out.select(*ROW, *series.lag_columns(), *series.rolling_columns()))
 
 
@@ -505,7 +513,7 @@ def demand_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forecast_query(policy: Policy) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = demand.heuristic_demand(cleanse.validate(retail_fact(spark, sf_dir)))
+        rows = demand.heuristic_demand(scoring.cleansed(retail_fact(spark, sf_dir), policy))
         return _days(forecast.daily_forecast(rows, policy, AS_OF, noise="keyed"))
 
     run.__name__ = f"forecast_{policy.name.lower()}"
@@ -548,6 +556,7 @@ for _policy in POLICIES.values():
     query(_columns_query(f"reorder_{_suffix}", _policy, (*_REORDER, _own)))
     query(_columns_query(f"health_{_suffix}", _policy, ("health_score",)))
 query(_columns_query("price_impact", POLICY_A, _IMPACT))
+query(_columns_query("price_impact_b", POLICY_B, _IMPACT))
 query(_columns_query("stockout_date", POLICY_B, ("stockout_date",)))
 query(_columns_query("health_band", POLICY_A, ("health_score", "health_band")))
 
@@ -562,10 +571,15 @@ def eoq(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _second_opinion(spark: SparkSession, sf_dir: str, of_a: Column) -> DataFrame:
+    """Decisions of policy B on the requests as they came in, next to a column of policy A's."""
+    requests = retail_fact(spark, sf_dir).withColumn("request", F.struct(*INPUTS))
+    return scoring.analyse(scoring.analyse(requests, POLICY_A, AS_OF).select("request.*", of_a), POLICY_B, AS_OF)
+
+
 @query
 def stockout_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _decided(spark, sf_dir, POLICY_A).withColumn("risk_a", F.col("stockout_risk"))
-    rules_b = scoring.decide(a.select(*INPUTS, "demand", "risk_a"), POLICY_B, AS_OF)
+    rules_b = _second_opinion(spark, sf_dir, F.col("stockout_risk").alias("risk_a"))
     return rules_b.select(*ROW, "risk_a", F.col("stockout_risk").alias("risk_b"))
 
 
@@ -581,8 +595,7 @@ def alerts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _decided(spark, sf_dir, POLICY_A).withColumn("plan_a", F.concat_ws("; ", "actions"))
-    rules_b = scoring.decide(a.select(*INPUTS, "demand", "plan_a"), POLICY_B, AS_OF)
+    rules_b = _second_opinion(spark, sf_dir, F.concat_ws("; ", "actions").alias("plan_a"))
     return rules_b.select(*ROW, "plan_a", F.concat_ws("; ", "actions").alias("plan_b"))
 
 
@@ -649,7 +662,7 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.history_page(_history(spark, sf_dir), page=60)
+    return dashboard.history_page(_history(spark, sf_dir), page=60, ranged=True)
 
 
 @query

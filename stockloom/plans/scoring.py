@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.scalar import round_half_even
 from stockloom.functions.values import ERROR_REPORT, POLICY_A, Policy
 from stockloom.operators import alerts, cleanse, demand, forecast, health, pricing, reorder, report
+from stockloom.operators.history import history_rows, prediction_id, with_request_id
 
 
 def decide(
     df: DataFrame, policy: Policy, as_of: str, noise: str = "off", confidence: float | None = None
 ) -> DataFrame:
     """All decision columns for rows that carry ``demand`` and validated request fields."""
-    out = forecast.forecast_totals(forecast.daily_forecast(df, policy, as_of, noise))
+    out = forecast.forecast_with_totals(df, policy, as_of, noise)
     if policy.name == "A":
         out = out.withColumn("total_30day", round_half_even(F.col("total_30day"), 2))
     out = out.withColumn("confidence", F.lit(policy.confidence if confidence is None else confidence))
@@ -23,6 +24,17 @@ def decide(
     return health.action_plan(health.health_band(out), policy)
 
 
+def cleansed(df: DataFrame, policy: Policy, zero_is_missing: bool = True) -> DataFrame:
+    """Requests under the policy's own cleansing.
+
+    The serving rules (A) read a zero as missing unless told otherwise. The offline rules (B) keep it, and put classes outside
+    their lists to the first of the list.
+    """
+    if policy.name == "B":
+        return cleanse.check_domains(cleanse.coerce(df))
+    return cleanse.validate(df, zero_is_missing)
+
+
 def analyse(
     df: DataFrame,
     policy: Policy,
@@ -36,7 +48,7 @@ def analyse(
 
     ``demand_model='given'`` keeps a ``demand`` column that a trained model has put there.
     """
-    out = cleanse.validate(df, zero_is_missing)
+    out = cleansed(df, policy, zero_is_missing)
     if demand_model == "heuristic":
         out = demand.heuristic_demand(out, noise)
     elif demand_model == "naive":
@@ -71,16 +83,30 @@ def rejected_reports(requests: DataFrame, as_of: str, analysed_at: str, noise: s
     return report.error_report(forecast.daily_forecast(rows, POLICY_A, as_of, noise), analysed_at)
 
 
-def bulk_results(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns shown after an upload."""
+def bulk_results(scored: DataFrame, run_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns shown after an upload, each row with the id of its history row."""
     return scored.select(
-        *keep, "store_id", "product_id", "category",
+        *keep, prediction_id(scored, run_id).alias("id"), "store_id", "product_id", "category",
         round_half_even(F.col("demand"), 2).alias("predicted_demand"),
         F.col("order_quantity").alias("reorder_qty"),
         "recommended_price", "health_score",
     )
 
 
+def bulk_history(
+    raw: DataFrame, run_id: str, user_id: int, as_of: str, analysed_at: str, keep: tuple[str, ...] = (), created_at: Column | None = None
+) -> DataFrame:
+    """History rows of the accepted rows of an upload, each with the uploaded text as its input.
+
+    An upload without ``request_id`` is numbered by the places of its rows.
+    """
+    raw = with_request_id(raw, "upload")
+    named = raw.withColumn("request", F.struct(*[c for c in raw.columns if c != "request_id"]))
+    requests = bulk_requests(named, keep=(*keep, "request_id", "request"))
+    scored = analyse_with_report(accepted(requests), POLICY_A, as_of, analysed_at).withColumn("user_id", F.lit(user_id).cast("bigint"))
+    return history_rows(scored, run_id, created_at=created_at)
+
+
 def top_products(scored: DataFrame, n: int = 20) -> DataFrame:
     """Products with the largest total order quantity."""
     return (

@@ -45,7 +45,7 @@ BULK_COLUMNS = (
 REQUEST = _struct(
     sale_date=_S, store_id=_S, product_id=_S, category=_S, region=_S, inventory_level=_S, units_ordered=_S,
     units_sold=_S, price=_S, discount=_S, competitor_price=_S, weather=_S, promotion=_S, season=_S,
-    demand_forecast=_S, user_id=_L, created_at=T.TimestampType(),
+    demand_forecast=_S, user_id=_L, created_at=T.TimestampType(), request_id=_S,
 )
 
 FORECAST = T.ArrayType(_struct(date=T.DateType(), demand=_D, trend=_S))

@@ -76,8 +76,11 @@ def retail_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales fact as an upload would carry it: every field text, some of it missing, percent-marked or wrong."""
+def raw_requests(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """The sales fact as an upload would carry it: every field text, some of it missing, percent-marked or wrong.
+
+    ``numbered`` adds a ``request_id`` of the fact's key.
+    """
     fact = retail_fact(spark, sf_dir)
     day = F.dayofmonth("sale_date")
     text = {c: F.col(c).cast("string") for c in fact.columns}
@@ -99,4 +102,5 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(day == 16, "Monsoon").when(day == 15, "").otherwise(text["season"]).alias("season"),
         F.when(day == 14, "Hot").otherwise(text["weather"]).alias("weather"),
         F.initcap(text["region"]).alias("region"),
+        *([F.concat_ws("|", "sale_date", "store_id", "product_id").alias("request_id")] if numbered else []),
     )

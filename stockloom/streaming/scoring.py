@@ -10,11 +10,11 @@ from stockloom import schemas
 from stockloom.functions.scalar import flag
 from stockloom.functions.values import FORM_FLAGS, POLICY_A
 from stockloom.operators.cleanse import request_date
-from stockloom.operators.history import alert_rows, history_rows
+from stockloom.operators.history import alert_rows, history_rows, with_request_id
 from stockloom.plans.scoring import analyse_with_report
 from stockloom.sources.sinks import write_batch
 
-INPUT_COLUMNS = tuple(c for c in schemas.REQUEST.names if c not in ("user_id", "created_at"))
+INPUT_COLUMNS = tuple(c for c in schemas.REQUEST.names if c not in ("user_id", "created_at", "request_id"))
 
 
 def read_requests(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int | None =
 
 def score_requests(requests: DataFrame, as_of: str, analysed_at: str, noise: str = "off") -> DataFrame:
     """The stateless part: request text to decisions. The same plan for a batch and for a stream."""
-    rows = requests.withColumns({
+    rows = requests.withColumn("request", F.struct(*INPUT_COLUMNS)).withColumns({
         "discount": F.replace("discount", F.lit("%"), F.lit("")),
         "promotion": flag(F.col("promotion"), FORM_FLAGS),
     })
@@ -39,13 +39,15 @@ def start_scoring(
 ) -> StreamingQuery:
     """Write history and alert rows of each micro-batch.
 
-    Each batch goes into folders named by its number, so a batch that runs again after a failure replaces what it wrote.
+    Each batch goes into folders named by its number, so a batch that runs again after a failure replaces what it wrote. Rows are
+    numbered within their batch: equal requests, of one batch or of several, are predictions of their own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_requests(batch, as_of, analysed_at, noise).persist()
+        numbered = with_request_id(batch, f"batch-{batch_id}")
+        scored = score_requests(numbered, as_of, analysed_at, noise).persist()
         created = F.coalesce(F.col("created_at"), F.current_timestamp())
-        write_batch(history_rows(scored, run_id, INPUT_COLUMNS, created), f"{out}/history", batch_id)
+        write_batch(history_rows(scored, run_id, created_at=created), f"{out}/history", batch_id)
         write_batch(alert_rows(scored, run_id, created), f"{out}/alerts", batch_id)
         scored.unpersist()
 

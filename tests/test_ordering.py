@@ -30,7 +30,7 @@ def test_series_features(sales):
     want = expected(frame(sales))
     columns = [*series.lag_columns(), *series.rolling_columns()]
     whole = frame(series.series_features(sales))
-    ranged = frame(series.series_features(sales, hot_rows=50).drop("segment"))
+    ranged = frame(series.series_features(sales, ranged=True))
     for got in (whole, ranged):
         assert len(got) == len(want)
         for c in columns:
@@ -39,7 +39,7 @@ def test_series_features(sales):
 
 def test_excluding_the_current_row(sales):
     a = frame(series.series_features(sales, include_current=False))
-    b = frame(series.series_features(sales, include_current=False, hot_rows=10).drop("segment"))
+    b = frame(series.series_features(sales, include_current=False, ranged=True))
     columns = series.rolling_columns()
     for c in columns:
         np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-9)
@@ -89,7 +89,7 @@ def test_quantile(spark, sales):
 def test_lookup_broadcast_or_salted(sales):
     dim = sales.groupBy("product_id").agg(F.max("price").alias("top"))
     a = frame(lookup.lookup_join(sales, dim, ["product_id"], KEYS))
-    b = frame(lookup.lookup_join(sales, dim, ["product_id"], KEYS, broadcast_rows=0))
+    b = frame(lookup.lookup_join(sales, dim, ["product_id"], KEYS, salts=8))
     pd.testing.assert_frame_equal(a[sorted(a)], b[sorted(b)])
 
 
