@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -24,7 +25,8 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark = build_session("local[4]", **{
+    spark = build_session("local[8]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "10g",
     })

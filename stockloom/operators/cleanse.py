@@ -12,6 +12,7 @@ from stockloom.functions.values import BULK_DEFAULTS, DOMAINS, REQUEST_DEFAULTS
 from stockloom.schemas import BULK_COLUMNS
 
 REJECT = "_reject_reason"
+MALFORMED = "_malformed"
 
 
 def map_bulk_columns(df: DataFrame) -> DataFrame:
@@ -35,6 +36,8 @@ def normalize_bulk(
         for c in (*integers, *doubles)
     ]
 
+    malformed = [F.when(F.col(MALFORMED).isNotNull(), F.concat(F.lit("malformed row: "), F.col(MALFORMED)))] if MALFORMED in df.columns else []
+
     def filled(c: str, default: Column) -> Column:
         return F.coalesce(parsed[c], default)
 
@@ -52,7 +55,7 @@ def normalize_bulk(
         filled("promotion", F.lit(float(BULK_DEFAULTS["promotion"]))).try_cast("int").alias("promotion"),
         filled("units_sold", units_default).try_cast("int").alias("units_sold"),
         filled("discount", F.lit(BULK_DEFAULTS["discount"])).alias("discount"),
-        F.nullif(F.concat_ws("; ", *bad), F.lit("")).alias(REJECT),
+        F.nullif(F.concat_ws("; ", *malformed, *bad), F.lit("")).alias(REJECT),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.operators.features import CATEGORICAL
@@ -38,16 +38,33 @@ def target_means(df: DataFrame, target: str, columns: Sequence[str] = CATEGORICA
     return cells.groupBy("cell.column", "cell.label").agg(F.avg(target).alias("target_mean"))
 
 
+def with_folds(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Add ``fold``, from a hash of the row's key."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(*[k for k in ROW_KEY if k in df.columns]), F.lit(folds)).cast("int"))
+
+
+def target_means_of_other_folds(df: DataFrame, target: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """For each fold, the mean target of each class over the rows of the other folds; a class of one fold only has none.
+
+    Rows that a model is trained on take these, so that no row's own target is among its features.
+    """
+    cells = df.select(target, "fold", F.explode(_cells(columns)).alias("cell"))
+    sums = cells.groupBy("cell.column", "cell.label", "fold").agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    of_class = Window.partitionBy("column", "label")  # as many rows as folds
+    others = F.try_divide(F.sum("s").over(of_class) - F.col("s"), F.sum("n").over(of_class) - F.col("n"))
+    return sums.select("column", "label", "fold", others.alias("target_mean"))
+
+
 def _lookup_classes(
-    df: DataFrame, classes: DataFrame, columns: Sequence[str], value: str, suffix: str, default: Column
+    df: DataFrame, classes: DataFrame, columns: Sequence[str], value: str, suffix: str, default: Column, by: Sequence[str] = ()
 ) -> DataFrame:
     classes = pin(classes)
     spread = [k for k in ROW_KEY if k in df.columns] or list(columns)
     out = df
     for c in columns:
-        dim = classes.filter(F.col("column") == c).select(F.col("label").alias("_label"), F.col(value).alias("_value"))
+        dim = classes.filter(F.col("column") == c).select(*by, F.col("label").alias("_label"), F.col(value).alias("_value"))
         out = out.withColumn("_label", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        out = lookup_join(out, dim, ["_label"], spread)
+        out = lookup_join(out, dim, [*by, "_label"], spread)
         out = out.withColumn(c + suffix, F.coalesce("_value", default)).drop("_label", "_value")
     return out
 
@@ -58,10 +75,11 @@ def encode(df: DataFrame, dictionary: DataFrame, columns: Sequence[str] = CATEGO
 
 
 def with_target_means(
-    df: DataFrame, means: DataFrame, unseen: float, columns: Sequence[str] = CATEGORICAL, suffix: str = "_mean"
+    df: DataFrame, means: DataFrame, unseen: float, columns: Sequence[str] = CATEGORICAL, suffix: str = "_mean",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Add each class's mean target under ``suffix``; ``unseen`` stands in for a class without one."""
-    return _lookup_classes(df, means, columns, "target_mean", suffix, F.lit(unseen))
+    return _lookup_classes(df, means, columns, "target_mean", suffix, F.lit(unseen), by)
 
 
 def unseen_categories(df: DataFrame, dictionary: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:

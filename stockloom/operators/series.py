@@ -129,13 +129,31 @@ def sales_velocity(df: DataFrame, tie: Sequence[str] = (), ranged: bool = False)
     )
 
 
-def latest_features(df: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
-    """The features of each series' latest row: what the next scoring run reads.
+def _newest(df: DataFrame, depth: int, tie: Sequence[str]) -> DataFrame:
+    """The ``depth`` newest rows of each series, numbered from 1 in ``_age``.
 
-    Each series is first cut to as many newest rows as the longest feature looks back on. The cut is a top-k that runs
-    before the shuffle, so a long series does not reach one task.
+    A top-k that runs before the shuffle, so a long series does not reach one task.
     """
-    depth = max(max(LAGS) + 1, *SPANS)
     newest = Window.partitionBy(*KEYS).orderBy(F.col("sale_date").desc(), *[F.col(c).desc() for c in tie])
-    recent = df.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= depth)
-    return whole_series_features(recent, tie=tie).filter(F.col("_age") == 1).drop("_age")
+    return df.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= depth)
+
+
+def latest_features(df: DataFrame, tie: Sequence[str] = (), include_current: bool = True) -> DataFrame:
+    """The features of each series' latest row, as ``series_features`` gives them."""
+    depth = max(max(LAGS) + 1, *(k if include_current else k + 1 for k in SPANS))
+    recent = whole_series_features(_newest(df, depth, tie), tie=tie, include_current=include_current)
+    return recent.filter(F.col("_age") == 1).drop("_age")
+
+
+def next_features(df: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """A row for the day after each series' latest, with the features that a training row of that day would have.
+
+    The day's own sales are not known yet, so they are null and no statistic holds them (``include_current=False``); what else the
+    row carries is taken from the latest row.
+    """
+    recent = _newest(df, max(*LAGS, *SPANS), tie)
+    following = recent.filter(F.col("_age") == 1).withColumns({
+        "_age": F.lit(0), "sale_date": F.date_add("sale_date", 1), "units_sold": F.lit(None).cast(df.schema["units_sold"].dataType),
+    })
+    out = whole_series_features(recent.unionByName(following), tie=tie, include_current=False)
+    return out.filter(F.col("_age") == 0).drop("_age")

@@ -73,7 +73,8 @@ def stacked_predictions(df: DataFrame, models: dict[str, PipelineModel]) -> Data
 
 
 def weighted_demand(df: DataFrame, weights: dict[str, float], name: str = "hybrid") -> DataFrame:
-    """Weighted sum of the models' predictions; the plain mean if there are no weights."""
+    """Weighted sum of the models' predictions; the plain mean if no model has a weight."""
+    weights = {m: w for m, w in weights.items() if w is not None}
     if not weights:
         return df.withColumn(name, sum((F.col(m) for m in MODELS), F.lit(0.0)) / len(MODELS))
     return df.withColumn(name, sum((F.col(m) * w for m, w in weights.items() if m in df.columns), F.lit(0.0)))

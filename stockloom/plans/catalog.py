@@ -21,6 +21,7 @@ from stockloom.schemas import SALES_HEADER
 from stockloom.session import pin, scratch_path
 from stockloom.sources import files, sinks
 from stockloom.sources.tables import raw_requests, retail_fact
+from stockloom.streaming import alerts as alert_stream
 from stockloom.streaming import scoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +127,7 @@ def scan_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "bulk-csv")
     sinks.write_csv(raw_requests(spark, sf_dir), path)
-    return files.read_bulk_csv(spark, path)
+    return files.read_bulk_csv(spark, path).drop(cleanse.MALFORMED)
 
 
 @query
@@ -184,10 +185,10 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _trained(spark, sf_dir).metrics
+    table = pin(metrics.model_metrics(_naive_predictions(spark, sf_dir), list(NAIVE_MODELS)))
     path = scratch_path(spark, "metrics-json")
-    sinks.write_metrics_json(table, path, metrics.ensemble_weights(table.filter(F.col("model") != "hybrid")))
-    return files.read_metrics_json(spark, path).drop("weights")
+    sinks.write_metrics_json(table, path, metrics.ensemble_weights(table))
+    return rounded(files.read_metrics_json(spark, path).drop("weights"))
 
 
 @query
@@ -655,6 +656,17 @@ def alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alert_state(spark, sf_dir)
 
 
+@query
+def alert_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert state kept by a stream of several batches: all raises first, the resolving events after them."""
+    folder = scratch_path(spark, "alert-stream")
+    events = _alert_events(spark, sf_dir)
+    for event in ("raise", "resolve"):
+        sinks.append_table(events.filter(F.col("event") == event).coalesce(2), f"{folder}/events")
+    alert_stream.start_alert_state(alert_stream.read_events(spark, f"{folder}/events", 1), f"{folder}/out").awaitTermination()
+    return files.read_alert_state(spark, f"{folder}/out/state")
+
+
 @query
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.history_page(_history(spark, sf_dir), page=2)
@@ -693,26 +705,37 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir).validation.select("sale_date", "actual", *stacking.MODELS)
+    """The validation rows of trained models, and whether every model and the hybrid has an estimate for them."""
+    rows = _trained(spark, sf_dir).validation
+    estimates = [F.col(m) for m in (*stacking.MODELS, "hybrid")]
+    complete = F.array_size(F.filter(F.array(*estimates), lambda x: x.isNotNull() & ~F.isnan(x))) == len(estimates)
+    return rounded(rows.select("sale_date", "actual", complete.alias("complete")))
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed predictions and their mean, weighted by R2."""
+    rows = pin(_naive_predictions(spark, sf_dir))
+    weights = metrics.ensemble_weights(metrics.model_metrics(rows, list(NAIVE_MODELS))).collect()
+    return stacking.weighted_demand(rows, {r["model"]: r["weight"] for r in weights})
 
 
 @query
 def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trained = _trained(spark, sf_dir)
-    weights = metrics.ensemble_weights(trained.metrics.filter(F.col("model") != "hybrid")).collect()
-    return stacking.weighted_demand(
-        trained.validation.drop("hybrid"), {r["model"]: r["weight"] or 0.0 for r in weights}
-    ).select("sale_date", "actual", "hybrid")
+    return rounded(_weighted(spark, sf_dir).select(*ROW, "actual", "hybrid"), 4)
 
 
 @query
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stacking.ridge_coefficients(spark, _trained(spark, sf_dir).ridge, stacking.MODELS)
+    """Ridge over two of the fixed predictions, which the normal equations of two unknowns can be checked against."""
+    inputs = ("last_week", "mean_month")
+    model = stacking.fit_ridge(_naive_predictions(spark, sf_dir), inputs, "actual", 1.0)
+    return rounded(stacking.ridge_coefficients(spark, model, inputs), 5)
 
 
 @query
 def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir).metrics
+    """Metrics of the fixed predictions and of their weighted mean."""
+    return rounded(metrics.model_metrics(_weighted(spark, sf_dir), [*NAIVE_MODELS, "hybrid"]), 5)
 
 
 @query
@@ -722,8 +745,9 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 validation rows in date order, actual next to predicted."""
-    return _trained(spark, sf_dir).validation.select(*ROW, "actual", "hybrid").orderBy(*ROW).limit(200)
+    """The first 200 rows in date order, actual next to predicted."""
+    rows = _naive_predictions(spark, sf_dir).select(*ROW, "actual", F.col("mean_week").alias("predicted"))
+    return rounded(rows.orderBy(*ROW).limit(200))
 
 
 @query

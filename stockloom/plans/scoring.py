@@ -62,11 +62,13 @@ def analyse_with_report(df: DataFrame, policy: Policy, as_of: str, analysed_at:
 
 def bulk_requests(raw: DataFrame, keep: tuple[str, ...] = (), units_from_inventory: bool = False) -> DataFrame:
     """Uploaded text to typed requests; unreadable rows carry a reject reason."""
+    if cleanse.MALFORMED in raw.columns:
+        keep = (*keep, cleanse.MALFORMED)
     mapped = cleanse.map_bulk_columns(raw)
     if keep:
         mapped = raw.select(*keep, *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
                                      for c in mapped.columns if c not in keep])
-    return cleanse.normalize_bulk(mapped, units_from_inventory, keep)
+    return cleanse.normalize_bulk(mapped, units_from_inventory, keep).drop(cleanse.MALFORMED)
 
 
 def accepted(requests: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegressionModel
@@ -19,6 +19,7 @@ from stockloom.operators.stacking import MODELS, TARGET, TrainConfig
 from stockloom.plans.scoring import analyse
 from stockloom.session import pin
 from stockloom.sources import sinks
+from stockloom.sources.files import read_sales_csv
 
 
 @dataclass
@@ -30,6 +31,7 @@ class Trained:
     overall_mean: float
     validation: DataFrame
     metrics: DataFrame
+    config: TrainConfig
 
 
 def feature_table(sales: DataFrame, config: TrainConfig, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -60,26 +62,28 @@ def _split(df: DataFrame, share: float, config: TrainConfig, tie: tuple[str, ...
 def train(sales: DataFrame, config: TrainConfig, tie: tuple[str, ...] = ()) -> Trained:
     """Features, split, four base models, their metrics, and the ridge on top.
 
-    The encoded matrix is pinned once and read by all fits. Class indexes and class means are tables, not lists held
-    by the driver.
+    The encoded training rows are pinned once and read by all fits; their class means come from other rows than their own. Class
+    indexes and class means are tables, not lists held by the driver.
     """
     table = pin(_split(pin(feature_table(sales, config, tie)), config.train_share, config, tie, "part"))
     dictionary = pin(encode.label_dictionary(table))
     head = table.filter(F.col("part") == "head")
     means = pin(encode.target_means(head, TARGET))
     overall = head.agg(F.avg(TARGET)).first()[0]
-    matrix = encode.with_target_means(table, means, overall)
-    matrix = pin(encode.encode(matrix, dictionary))
-    fit_rows = matrix.filter(F.col("part") == "head")
+    folded = encode.with_folds(head)
+    others = encode.target_means_of_other_folds(folded, TARGET)
+    fit_rows = encode.with_target_means(folded, others, overall, by=("fold",)).drop("fold")
+    fit_rows = pin(encode.encode(fit_rows, dictionary))
     models = {name: p.fit(fit_rows) for name, p in stacking.base_pipelines(config).items()}
 
-    tail = stacking.stacked_predictions(matrix.filter(F.col("part") == "tail"), models)
+    tail = encode.encode(encode.with_target_means(table.filter(F.col("part") == "tail"), means, overall), dictionary)
+    tail = stacking.stacked_predictions(tail, models)
     tail = tail.withColumn("actual", features.from_log1p(F.col(TARGET)))
     tail = pin(_split(pin(tail), config.meta_share, config, tie, "meta_part"))
     ridge = stacking.fit_ridge(tail.filter(F.col("meta_part") == "head"), MODELS, "actual", config.ridge_alpha)
     validation = ridge.transform(stacking.meta_vector(tail, MODELS)).drop("meta", SEGMENT)
     table_of_metrics = pin(metrics.model_metrics(validation, (*MODELS, "hybrid")))
-    return Trained(models, ridge, dictionary, means, overall, validation, table_of_metrics)
+    return Trained(models, ridge, dictionary, means, overall, validation, table_of_metrics, config)
 
 
 def save(trained: Trained, path: str) -> None:
@@ -92,7 +96,7 @@ def save(trained: Trained, path: str) -> None:
     trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     weights = metrics.ensemble_weights(trained.metrics.filter(F.col("model") != "hybrid"))
     sinks.write_metrics_json(trained.metrics, f"{path}/metrics_json", weights)
-    settings = json.dumps({"features": list(features.FEATURES), "models": list(MODELS)})
+    settings = json.dumps({"features": list(features.FEATURES), "models": list(MODELS), "config": asdict(trained.config)})
     trained.metrics.sparkSession.createDataFrame([(settings,)], "value string").write.mode("overwrite").text(f"{path}/settings")
 
 
@@ -106,6 +110,7 @@ def load(spark: SparkSession, path: str) -> Trained:
         means.agg(F.max("overall_mean")).first()[0],
         None,
         spark.read.parquet(f"{path}/metrics"),
+        TrainConfig(**json.loads(spark.read.text(f"{path}/settings").first()["value"])["config"]),
     )
 
 
@@ -128,8 +133,29 @@ def predict(requests: DataFrame, trained: Trained, combine: str = "ridge") -> Da
 
 
 def score_latest(sales: DataFrame, trained: Trained, as_of: str, tie: tuple[str, ...] = ()) -> DataFrame:
-    """Decisions of the offline rules from model demand, for the latest row of each store and product."""
-    latest = features.calendar_features(series.latest_features(sales, tie))
+    """Decisions of the offline rules from model demand, for each store and product.
+
+    Models trained without a row's own sales in its features estimate the day after the latest one; models trained with them
+    (``include_current``) can only be given the latest day itself.
+    """
+    if trained.config.include_current:
+        latest = series.latest_features(sales, tie)
+    else:
+        latest = series.next_features(sales, tie)
+    latest = features.calendar_features(latest)
     latest = latest.withColumn("promotion", F.col("promotion").cast("int"))
     confidence = trained.metrics.filter(F.col("model") == "hybrid").first()["r2"]
     return analyse(predict(latest, trained), POLICY_B, as_of, demand_model="given", confidence=confidence)
+
+
+def train_job(spark: SparkSession, sales_path: str, out: str, config: TrainConfig) -> Trained:
+    """Train on a sales file and save everything that scoring needs."""
+    trained = train(read_sales_csv(spark, sales_path), config)
+    save(trained, out)
+    return trained
+
+
+def score_job(spark: SparkSession, sales_path: str, model_path: str, out: str, as_of: str) -> None:
+    """Score a sales file with saved models and write the decisions."""
+    scored = score_latest(read_sales_csv(spark, sales_path), load(spark, model_path), as_of)
+    scored.drop("forecast").write.mode("overwrite").parquet(out)

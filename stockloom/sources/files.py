@@ -7,18 +7,45 @@ from pyspark.sql import functions as F
 
 from stockloom import schemas
 from stockloom.functions.scalar import blank_to_null
+from stockloom.operators.cleanse import MALFORMED
 
 
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     """A title-case sales file under the engine's column names."""
-    df = spark.read.schema(schemas.SALES_FILE).csv(path, header=True, enforceSchema=False)
+    df = spark.read.schema(schemas.SALES_FILE).csv(path, header=True, enforceSchema=False, quote='"', escape='"')
     return df.withColumnsRenamed(schemas.SALES_HEADER)
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of an upload by their first line. One line a file reaches the driver."""
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("place")
+    )
+    found: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect():
+        found.setdefault(row["header"], []).append(row["file"])
+    return found
+
+
 def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An uploaded file: every column text, missing-value spellings nulled. Columns may be absent or reordered."""
-    df = spark.read.csv(path, header=True, mode="PERMISSIVE", inferSchema=False)
-    return df.select([blank_to_null(F.trim(F.col(f"`{c}`"))).alias(c) for c in df.columns])
+    """Uploaded files: every column text, missing-value spellings nulled.
+
+    Columns may be absent or reordered, in each file on its own: files are read by their header and put together by name. Quotes
+    inside quoted fields are doubled, and such fields may hold line breaks. The line of a row with too many or too few fields is
+    kept in ``_malformed``, for the reject reason.
+    """
+    tables = []
+    for files in _headers(spark, path).values():
+        names = spark.read.csv(files, header=True, quote='"', escape='"', multiLine=True).columns
+        schema = ", ".join(f"`{c}` string" for c in [*names, MALFORMED])
+        raw = spark.read.schema(schema).csv(
+            files, header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED
+        )
+        tables.append(raw.select(*[blank_to_null(F.trim(F.col(f"`{c}`"))).alias(c) for c in names], MALFORMED))
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out.select(*[c for c in out.columns if c != MALFORMED], MALFORMED)
 
 
 def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
@@ -54,5 +81,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HISTORY).parquet(path).select(*schemas.HISTORY.names)
 
 
+def read_alert_state(spark: SparkSession, path: str) -> DataFrame:
+    """The current alerts of a state stream: of each alert the row of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    fields = [c for c in rows.columns if c not in ("alert_id", "batch_id")]
+    latest = rows.groupBy("alert_id").agg(F.max_by(F.struct(*fields), F.col("batch_id").cast("long")).alias("s"))
+    return latest.select("alert_id", "s.*")
+
+
 def read_alert_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ALERT_EVENTS).parquet(path).select(*schemas.ALERT_EVENTS.names)

@@ -21,12 +21,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def write_sales_csv(df: DataFrame, path: str) -> None:
     """A sales table as CSV under the title-case header."""
     names = {name: title for title, name in SALES_HEADER.items() if name in df.columns}
-    df.select(*names).withColumnsRenamed(names).write.csv(path, header=True)
+    df.select(*names).withColumnsRenamed(names).write.csv(path, header=True, quote='"', escape='"')
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted CSV with a header."""
-    df.write.csv(path, header=True, quoteAll=True)
+    df.write.csv(path, header=True, quoteAll=True, quote='"', escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:

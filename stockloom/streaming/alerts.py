@@ -10,14 +10,19 @@ from stockloom.operators.history import alert_state
 from stockloom.sources.sinks import write_batch
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Alert event files as a stream; folders of single batches below ``path`` are included."""
     reader = spark.readStream.schema(schemas.ALERT_EVENTS).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
 def start_alert_state(events: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """Keep one state row per alert and write the changed ones of each micro-batch."""
+    """Keep one state row per alert and write the changed ones of each micro-batch.
+
+    Batches are folders of their own; ``files.read_alert_state`` reads the last row of each alert.
+    """
 
     def write(changed: DataFrame, batch_id: int) -> None:
         write_batch(changed, f"{out}/state", batch_id)
