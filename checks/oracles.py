@@ -743,9 +743,10 @@ put("export_report_json", REPORTS, f"""SELECT prediction_id,
   CAST(to_json({_REPORT_STRUCT.replace('struct_pack(', 'struct_pack(' + _HEADER, 1)}) AS VARCHAR) AS export FROM reports""")
 
 
-def _line(section: str, key: str, value: str, extra: str = "NULL") -> str:
+def _line(section: str, key: str, value: str = "NULL", extra: str = "NULL", more: str = "NULL") -> str:
     key = key if key.startswith(("d.", "a.")) else f"'{key}'"
-    return f"struct_pack(section := '{section}', key := {key}, value := CAST({value} AS VARCHAR), extra := CAST({extra} AS VARCHAR))"
+    return (f"struct_pack(section := '{section}', key := {key}, value := CAST({value} AS VARCHAR), "
+            f"extra := CAST({extra} AS VARCHAR), more := CAST({more} AS VARCHAR))")
 
 
 _T, _I, _D = "RETAIL ANALYSIS EXPORT", "PRODUCT INFORMATION", "DEMAND FORECAST"
@@ -768,17 +769,16 @@ _AFTER = ", ".join([
 ])
 put("export_report_csv", REPORTS + f""",
 written AS (
-  SELECT prediction_id, list_concat([{_BEFORE}],
+  SELECT prediction_id, list_concat([{_BEFORE}], [{_line('DAILY FORECAST (Next 7 Days)', 'Date', "'Forecasted Demand'")}],
     list_transform(listed[1:7], lambda d: {_line('DAILY FORECAST (Next 7 Days)', 'd."date"', 'd.demand')}), [{_AFTER}],
     CASE WHEN len(alerts) > 0
-      THEN list_transform(alerts, lambda a: {_line(_B, 'a."type"', "a.severity || ' - ' || a.message", 'a.action')})
-      ELSE [{_line(_B, 'No active alerts', 'NULL')}] END) AS ls
+      THEN list_concat([{_line(_B, 'Type', "'Severity'", "'Message'", "'Action'")}],
+        list_transform(alerts, lambda a: {_line(_B, 'a."type"', 'a.severity', 'a.message', 'a.action')}))
+      ELSE [{_line(_B, 'No active alerts')}] END) AS ls
   FROM reports
 )""", """SELECT prediction_id, array_to_string(list_transform(ls, lambda l: concat_ws(',',
-  CASE WHEN regexp_matches(l.section, '[",]') THEN '"' || replace(l.section, '"', '""') || '"' ELSE l.section END,
-  CASE WHEN regexp_matches(l.key, '[",]') THEN '"' || replace(l.key, '"', '""') || '"' ELSE l.key END,
-  CASE WHEN regexp_matches(l.value, '[",]') THEN '"' || replace(l.value, '"', '""') || '"' ELSE l.value END,
-  CASE WHEN regexp_matches(l.extra, '[",]') THEN '"' || replace(l.extra, '"', '""') || '"' ELSE l.extra END)), chr(10)) AS export
+""" + ",\n".join(f"""  coalesce(CASE WHEN regexp_matches(l.{c}, '[",\r\n]') THEN '"' || replace(l.{c}, '"', '""') || '"' ELSE l.{c} END, '')"""
+                for c in ("section", "key", "value", "extra", "more")) + """)), chr(10)) AS export
 FROM written""")
 put("export_history", HISTORY, """SELECT prediction_id, user_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, store_id,
   product_id, category, demand_forecast, recommended_price, reorder_quantity, health_score FROM history""")
@@ -811,7 +811,7 @@ FROM (SELECT *, {_NEWEST.format(id='alert_id')} AS rank FROM state WHERE NOT res
 
 def _page(page: int) -> str:
     first, last = (page - 1) * 10 + 1, page * 10
-    return f"""SELECT user_id, prediction_id, store_id, product_id, demand_forecast, {ts('created_at')}, CAST(rank AS INT) AS rank,
+    return f"""SELECT user_id, prediction_id, store_id, product_id, demand_forecast, reorder_quantity, {ts('created_at')}, CAST(rank AS INT) AS rank,
   total, {first} AS from_row, least({last}, total) AS to_row, CAST(ceil(total / 10) AS BIGINT) AS pages
 FROM (SELECT *, {_NEWEST.format(id='prediction_id')} AS rank, count(*) OVER (PARTITION BY user_id) AS total FROM history)
 WHERE rank BETWEEN {first} AND {last}"""
@@ -819,9 +819,24 @@ WHERE rank BETWEEN {first} AND {last}"""
 
 put("history_page", HISTORY, _page(2))
 put("history_deep_page", HISTORY, _page(60))
-put("history_summary", HISTORY, """SELECT user_id, count(*) FILTER (WHERE demand_forecast > 100) AS high_demand_items,
+put("history_summary", HISTORY + f""",
+paged AS (SELECT * FROM (SELECT *, {_NEWEST.format(id='prediction_id')} AS rank FROM history) WHERE rank BETWEEN 11 AND 20)""",
+    """SELECT user_id, count(*) FILTER (WHERE demand_forecast > 100) AS high_demand_items,
   count(*) FILTER (WHERE reorder_quantity > 0) AS reorder_recommendations,
-  strftime(max(created_at), '%m/%d') AS last_analysis FROM history GROUP BY 1""")
+  strftime(max(created_at), '%m/%d') AS last_analysis FROM paged GROUP BY 1""")
+_TITLES = "Prediction ID,Date,Store ID,Product ID,Category,Demand Forecast,Recommended Price,Reorder Quantity,Health Score"
+put("export_history_heads", HISTORY, f"""SELECT user_id, 'COMPLETE PREDICTION HISTORY EXPORT' AS title,
+  '2024-01-02 00:00:00' AS exported_at, count(*) AS total_predictions, '{_TITLES}' AS column_titles FROM history GROUP BY 1""")
+put("export_history_lines", HISTORY + f""",
+heads AS (SELECT user_id, unnest(['COMPLETE PREDICTION HISTORY EXPORT', 'Exported at,2024-01-02 00:00:00', 'User,' || user_id,
+  'Total Predictions,' || count(*), '', '{_TITLES}']) AS text, unnest([0, 1, 2, 3, 4, 5]) AS line FROM history GROUP BY user_id)""",
+    """SELECT user_id, CAST(line AS INT) AS line, text FROM heads
+UNION ALL SELECT user_id, NULL, concat_ws(',', prediction_id, strftime(created_at, '%Y-%m-%d'), store_id, product_id, category,
+  CAST(demand_forecast AS VARCHAR), CAST(recommended_price AS VARCHAR), CAST(reorder_quantity AS VARCHAR), CAST(health_score AS VARCHAR))
+FROM history""")
+put("report_read", REPORTS, """SELECT prediction_id, store_id, round_even(demand, 2) AS immediate_demand, total_30day AS total_30day_forecast,
+  health_score AS overall_health_score, dates, demands, trends,
+  array_to_string(list_transform(alerts, lambda a: a."type"), ',') AS alert_types FROM reports""")
 put("dashboard_counts", _BOTH, """SELECT user_id, total_predictions, high_demand_products, reorder_recommendations,
   coalesce(active_alerts, 0) AS active_alerts
 FROM (SELECT user_id, count(*) AS total_predictions, count(*) FILTER (WHERE demand_forecast > 100) AS high_demand_products,

@@ -60,7 +60,7 @@ def history_page(history: DataFrame, page: int, per_page: int = PAGE, ranged: bo
     deep that the rows before them are too many for one task.
     """
     first, last = (page - 1) * per_page + 1, page * per_page
-    rows = history.select("user_id", "prediction_id", "store_id", "product_id", "demand_forecast", "created_at")
+    rows = history.select("user_id", "prediction_id", "store_id", "product_id", "demand_forecast", "reorder_quantity", "created_at")
     if not ranged:
         page_rows = latest_per_user(rows, last, _newest_first()).filter(F.col("rank") >= first)
     else:

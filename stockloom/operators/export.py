@@ -16,6 +16,9 @@ SECTION_PRICING = "PRICING STRATEGY"
 SECTION_INVENTORY = "INVENTORY MANAGEMENT"
 SECTION_ALERTS = "BUSINESS ALERTS"
 NO_ALERTS = "No active alerts"
+DAILY_HEADS = ("Date", "Forecasted Demand")
+ALERT_HEADS = ("Type", "Severity", "Message", "Action")
+HISTORY_TITLE = "COMPLETE PREDICTION HISTORY EXPORT"
 HISTORY_HEADER = {
     "prediction_id": "Prediction ID", "date": "Date", "store_id": "Store ID", "product_id": "Product ID",
     "category": "Category", "demand_forecast": "Demand Forecast", "recommended_price": "Recommended Price",
@@ -31,16 +34,18 @@ def report_json(df: DataFrame, exported_at: str) -> DataFrame:
     return df.select("prediction_id", F.to_json(F.struct(header, "report.*")).alias("export"))
 
 
-def _line(section: str, key: Column | str, value: Column, extra: Column | None = None) -> Column:
-    name = F.lit(key) if isinstance(key, str) else key
-    return F.struct(
-        F.lit(section).alias("section"), name.cast("string").alias("key"), value.cast("string").alias("value"),
-        (F.lit(None) if extra is None else extra).cast("string").alias("extra"),
-    )
+LINE = ("section", "key", "value", "extra", "more")
+
+
+def _line(section: str, *cells: Column | str) -> Column:
+    """A section's name and up to four cells."""
+    texts = [F.lit(c) if isinstance(c, str) else c for c in (section, *cells)]
+    texts += [F.lit(None)] * (len(LINE) - len(texts))
+    return F.struct(*[t.cast("string").alias(name) for t, name in zip(texts, LINE, strict=True)])
 
 
 def _report_line_array(exported_at: str) -> Column:
-    """The ordered (section, key, value, extra) lines of a report, the forecast cut to seven days."""
+    """The ordered lines of a report, the forecast cut to seven days; tables begin with their column heads."""
     info, demand = F.col("report.product_info"), F.col("report.demand_forecast")
     pricing, stock = F.col("report.pricing_strategy"), F.col("report.inventory_management")
     fixed = F.array(
@@ -77,12 +82,12 @@ def _report_line_array(exported_at: str) -> Column:
     )
     raised = F.transform(
         "report.business_alerts",
-        lambda a: _line(SECTION_ALERTS, a["type"], F.concat_ws(" - ", a["severity"], a["message"]), a["action"]),
+        lambda a: _line(SECTION_ALERTS, a["type"], a["severity"], a["message"], a["action"]),
     )
-    alerts = F.when(F.size("report.business_alerts") > 0, raised).otherwise(
-        F.array(_line(SECTION_ALERTS, NO_ALERTS, F.lit(None)))
-    )
-    return F.concat(fixed, daily, decisions, alerts)
+    alerts = F.when(
+        F.size("report.business_alerts") > 0, F.concat(F.array(_line(SECTION_ALERTS, *ALERT_HEADS)), raised)
+    ).otherwise(F.array(_line(SECTION_ALERTS, NO_ALERTS)))
+    return F.concat(fixed, F.array(_line(SECTION_DAILY, *DAILY_HEADS)), daily, decisions, alerts)
 
 
 def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
@@ -97,13 +102,13 @@ def report_lines(df: DataFrame, exported_at: str) -> DataFrame:
 
 def _quoted(value: Column) -> Column:
     escaped = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(value.rlike('[",\\n]'), escaped).otherwise(value)
+    return F.when(value.rlike('[",\\r\\n]'), escaped).otherwise(value)
 
 
 def report_csv(df: DataFrame, exported_at: str) -> DataFrame:
-    """Each report as one CSV text."""
+    """Each report as one CSV text of five columns; a missing cell is empty."""
     rows = F.transform(
-        "lines", lambda l: F.concat_ws(",", *[_quoted(l[part]) for part in ("section", "key", "value", "extra")])
+        "lines", lambda l: F.concat_ws(",", *[F.coalesce(_quoted(l[part]), F.lit("")) for part in LINE])
     )
     lined = df.select("prediction_id", _report_line_array(exported_at).alias("lines"))
     return lined.select("prediction_id", F.array_join(rows, "\n").alias("export"))
@@ -119,14 +124,39 @@ def history_json(history: DataFrame) -> DataFrame:
     )
 
 
-def history_csv(history: DataFrame) -> DataFrame:
+def history_csv(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The nine columns of the history's CSV export."""
     return history.select(
-        "prediction_id", F.date_format("created_at", "yyyy-MM-dd").alias("date"), "store_id", "product_id", "category",
+        *keep, "prediction_id", F.date_format("created_at", "yyyy-MM-dd").alias("date"), "store_id", "product_id", "category",
         "demand_forecast", "recommended_price", "reorder_quantity", F.coalesce("health_score", F.lit(0)).alias("health_score"),
     )
 
 
+def history_heads(history: DataFrame, exported_at: str) -> DataFrame:
+    """What stands above each user's export: title, time, user, number of predictions and the nine column titles."""
+    totals = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_predictions"))
+    return totals.select(
+        "user_id", F.lit(HISTORY_TITLE).alias("title"), F.lit(exported_at).alias("exported_at"), "total_predictions",
+        F.lit(",".join(HISTORY_HEADER.values())).alias("column_titles"),
+    )
+
+
+def history_csv_lines(history: DataFrame, exported_at: str) -> DataFrame:
+    """Each user's export as CSV lines: the numbered lines of the head, then the rows, whose number is null.
+
+    Rows are not ordered, so a user's history of any length is written by as many tasks as hold it.
+    """
+    heads = history_heads(history, exported_at).select("user_id", F.posexplode(F.array(
+        _quoted(F.col("title")), F.concat_ws(",", F.lit("Exported at"), "exported_at"),
+        F.concat_ws(",", F.lit("User"), F.col("user_id").cast("string")),
+        F.concat_ws(",", F.lit("Total Predictions"), F.col("total_predictions").cast("string")), F.lit(""), F.col("column_titles"),
+    )).alias("line", "text"))
+    rows = history_csv(history.withColumn("_user", F.col("user_id")), keep=("_user",))
+    cells = [F.coalesce(_quoted(F.col(c).cast("string")), F.lit("")) for c in HISTORY_HEADER]
+    rows = rows.select(F.col("_user").alias("user_id"), F.lit(None).cast("int").alias("line"), F.concat_ws(",", *cells).alias("text"))
+    return heads.unionByName(rows)
+
+
 def report_metrics_long(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Five headline figures of each report as (metric, value) rows."""
     figures = [

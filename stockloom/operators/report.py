@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stockloom.functions.scalar import round_half_even
 from stockloom.functions.values import ERROR_REPORT, Policy
 from stockloom.operators.cleanse import REJECT
+from stockloom.operators.forecast import normalize_forecast
+from stockloom.schemas import FORECAST, LEGACY_FORECAST
 
 
 def _text(df: DataFrame, c: str) -> Column:
@@ -97,3 +99,33 @@ def error_report(df: DataFrame, analysed_at: str) -> DataFrame:
         F.lit(v["health_score"]).alias("overall_health_score"),
     )
     return df.withColumn("report", report)
+
+
+STORED = """
+    product_info struct<store_id: string, product_id: string, category: string, region: string, analysis_timestamp: string>,
+    demand_forecast struct<immediate_demand: double, total_30day_forecast: double, confidence_score: double, daily_forecasts: string>,
+    pricing_strategy struct<current_price: double, current_discount: double, competitor_price: double, recommended_price: double,
+      recommended_discount: double, pricing_strategy: string, reasoning: string, expected_impact: struct<expected_volume_change: double,
+      expected_revenue_change: double, old_revenue: double, new_revenue: double>>,
+    inventory_management struct<current_inventory: double, days_of_supply: double, reorder_point: double, safety_stock: double,
+      lead_time_demand: double, recommended_order_quantity: double, reorder_urgency: string, reorder_action: string, reasoning: string,
+      stockout_risk: string>,
+    business_alerts array<struct<type: string, severity: string, message: string, details: string, action: string>>,
+    overall_health_score int
+"""
+
+
+def read_report(history: DataFrame) -> DataFrame:
+    """Stored reports as a nested column ``report``, with their daily forecasts as the list ``forecast``.
+
+    Forecasts are stored as a list, or in older records as a date -> value map; in any other form they are empty. A bare ``NaN``,
+    which some writers leave in the text, is read as null.
+    """
+    clean = F.regexp_replace("prediction_result", r"(:\s*)-?(NaN|Infinity)(?=\s*[,}\]])", "$1null")
+    out = history.withColumn("report", F.from_json(clean, STORED))
+    days = F.col("report.demand_forecast.daily_forecasts")
+    out = out.withColumns({
+        "_list": F.when(F.substr(F.ltrim(days), F.lit(1), F.lit(1)) == "[", F.from_json(days, FORECAST.simpleString())),
+        "_map": F.when(F.substr(F.ltrim(days), F.lit(1), F.lit(1)) == "{", F.from_json(days, LEGACY_FORECAST.simpleString())),
+    })
+    return normalize_forecast(out, "_list", "_map").drop("_list", "_map")

@@ -14,7 +14,7 @@ from stockloom.functions import scalar
 from stockloom.functions.values import FORM_FLAGS, POLICIES, POLICY_A, POLICY_B, SALES_FLAGS, SCRIPT_FLAGS, Policy
 from stockloom.operators import (
     alerts, augment, cleanse, dashboard, demand, encode, export, features, fill, forecast, history, metrics, ordering,
-    pricing, reorder, series, split, stacking,
+    pricing, reorder, report, series, split, stacking,
 )
 from stockloom.plans import scoring, training
 from stockloom.schemas import SALES_HEADER
@@ -211,6 +211,38 @@ def export_history_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.history_csv(_history(spark, sf_dir))
 
 
+@query
+def export_history_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.history_heads(_history(spark, sf_dir), EXPORTED_AT)
+
+
+@query
+def export_history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.history_csv_lines(_history(spark, sf_dir), EXPORTED_AT)
+
+
+@query
+def report_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored reports read back from their JSON text, every second one with its forecasts as a date -> value map."""
+    rows = _history(spark, sf_dir).select("prediction_id", "prediction_result", F.dayofmonth("created_at").alias("day"))
+    parsed = report.read_report(rows)
+    legacy = F.map_from_entries(F.transform("forecast", lambda d: F.struct(d["date"].cast("string"), d["demand"])))
+    older = F.struct(
+        "report.product_info", F.struct(
+            "report.demand_forecast.immediate_demand", "report.demand_forecast.total_30day_forecast",
+            "report.demand_forecast.confidence_score", legacy.alias("daily_forecasts"),
+        ).alias("demand_forecast"), "report.overall_health_score", "report.business_alerts",
+    )
+    stored = parsed.select("prediction_id", F.when(F.col("day") % 2 == 0, F.to_json(older)).otherwise(F.col("prediction_result"))
+                           .alias("prediction_result"))
+    return report.read_report(stored).select(
+        "prediction_id", "report.product_info.store_id", "report.demand_forecast.immediate_demand",
+        "report.demand_forecast.total_30day_forecast", "report.overall_health_score",
+        joined(F.col("forecast.date")).alias("dates"), joined(F.col("forecast.demand")).alias("demands"),
+        F.concat_ws(",", "forecast.trend").alias("trends"), F.concat_ws(",", "report.business_alerts.type").alias("alert_types"),
+    )
+
+
 @query
 def report_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.report_metrics_long(_reported(spark, sf_dir), ("prediction_id",))
@@ -679,7 +711,8 @@ def history_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.history_summary(_history(spark, sf_dir))
+    """Of the second page of each user's history, as the page shows it."""
+    return dashboard.history_summary(dashboard.history_page(_history(spark, sf_dir), page=2))
 
 
 @query

@@ -47,6 +47,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor cannot change what later steps read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a Parquet table in the shared folder, so that a lost executor cannot change what later steps read.
+
+    Readers prune its columns and know its size. Rows do not keep their partitions.
+    """
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

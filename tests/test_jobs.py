@@ -75,22 +75,22 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
 
     first = run()
     batch = stream.score_requests(files.read_requests_json(spark, str(tmp_path / "in")), "2024-01-01", "2024-01-01 00:00:00")
-    want = history.history_rows(batch, "r", stream.INPUT_COLUMNS, F.col("created_at"))
-    assert sorted(map(str, first.collect())) == sorted(map(str, want.collect())) and first.count() == 3
+    want = history.history_rows(batch, "r", created_at=F.col("created_at")).drop("prediction_id")
+    assert sorted(map(str, first.drop("prediction_id").collect())) == sorted(map(str, want.collect())) and first.count() == 3
     assert run().count() == 3
     raised = files.read_alert_events(spark, f"{out}/alerts")
     assert raised.filter("alert_type = 'REORDER'").count() == 3
     events = history.resolve_events(raised.filter("product_id = 'P1'"), F.lit(datetime.datetime(2024, 2, 1)))
     sinks.append_table(raised.unionByName(events), str(tmp_path / "events"))
     alert_stream.start_alert_state(alert_stream.read_events(spark, str(tmp_path / "events")), str(tmp_path / "s")).awaitTermination()
-    state = spark.read.parquet(str(tmp_path / "s" / "state"))
+    state = files.read_alert_state(spark, str(tmp_path / "s" / "state"))
     assert state.count() == raised.count()
     assert state.filter("resolved").select("product_id").distinct().collect()[0][0] == "P1"
 
 
 def test_deep_page_equals_top_k(spark):
     rows = spark.range(500).selectExpr(
-        "if(id < 400, 1, 2) user_id", "cast(id as string) prediction_id", "'S' store_id", "'P' product_id", "1.0 demand_forecast",
+        "if(id < 400, 1, 2) user_id", "cast(id as string) prediction_id", "'S' store_id", "'P' product_id", "1.0 demand_forecast", "2.0 reorder_quantity",
         "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 50 as int)) created_at")
     for page in (1, 7, 11):
         a = dashboard.history_page(rows, page)
@@ -106,11 +106,26 @@ def test_report_lines_hold_seven_days(spark):
     scored = report.full_report(scoring.decide(rows, POLICY_A, "2024-01-01"), POLICY_A, "2024-01-01 00:00:00")
     scored = scored.withColumn("prediction_id", F.lit("x"))
     lines = export.report_lines(scored, "2024-01-02 00:00:00").orderBy("line").collect()
-    daily = [(r.key, float(r.value)) for r in lines if r.section == export.SECTION_DAILY]
+    daily = [(r.key, float(r.value)) for r in lines if r.section == export.SECTION_DAILY and r.key != "Date"]
     assert [d for d, _ in daily] == [f"2024-01-0{i}" for i in range(1, 8)] and daily[5][1] == 72.0
     text = export.report_csv(scored, "2024-01-02 00:00:00").first().export
     parsed = list(csv.reader(text.split("\n")))
     assert [r[2] for r in parsed if r[1] == "Product"] == ['P "1", large'] and len(parsed) == len(lines)
+    assert {len(r) for r in parsed} == {5}
+
+
+def test_stored_reports_of_all_forms(spark):
+    texts = {
+        "list": '{"demand_forecast":{"immediate_demand":5.0,"daily_forecasts":[{"date":"2024-01-01","demand":2.0,"trend":"Up"}]}}',
+        "map": '{"demand_forecast":{"immediate_demand":NaN,"daily_forecasts":{"2024-01-02":3.0,"2024-01-01":2.0}},"overall_health_score":7}',
+        "none": '{"demand_forecast":{"daily_forecasts":null}}', "broken": "{", "null": None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "prediction_id string, prediction_result string")
+    got = {r.prediction_id: r for r in report.read_report(rows).collect()}
+    assert [(d.demand, d.trend) for d in got["list"].forecast] == [(2.0, "Up")]
+    assert [(d.demand, d.trend) for d in got["map"].forecast] == [(2.0, "Stable"), (3.0, "Up")]
+    assert got["map"].report.demand_forecast.immediate_demand is None and got["map"].report.overall_health_score == 7
+    assert got["none"].forecast == got["broken"].forecast == got["null"].forecast == []
 
 
 @pytest.fixture(scope="module")
