@@ -112,9 +112,14 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entr
     reaches the driver and the tasks.
     """
     fits = docs.filter(_learns(F.col("doc_id")) | F.col("doc_id").isNull()).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = fits.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) / 1_000_000
-    sample = fits.select("doc_id", "text", "lang").join(sizes, "lang").filter(share < F.lit(docs_per_language) / F.col("docs"))
+    sizes = {r["lang"]: r["docs"] for r in fits.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return Model([], {}, np.zeros((0, 0)), [{}] * LONGEST_GRAM, [np.zeros((1, 0))] * LONGEST_GRAM, 0.0)
+    # a literal of one number a language: the texts stay where they are
+    shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, docs_per_language / sizes[lang])))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) / 1_000_000
+    sample = fits.filter(place < F.element_at(shares, F.col("lang")))
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         counts: dict[tuple[str, int], Counter] = {}
@@ -134,9 +139,6 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entr
 
     counted = by_batch(sample.select("lang", "text"), each, "lang string, length int, entry string, n long")
     counted = counted.groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
-    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
-    if not languages:
-        return Model([], {}, np.zeros((0, 0)), [{}] * LONGEST_GRAM, [np.zeros((1, 0))] * LONGEST_GRAM, 0.0)
     total = F.sum("n").over(Window.partitionBy("lang", "length"))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "entry"))
     room = F.when(F.col("length") == 0, word_entries // len(languages)).otherwise(gram_entries // len(languages))
