@@ -24,10 +24,10 @@ from stockloom.llm.shared import by_batch
 
 #: Documents of one language that are counted, and entries the model keeps of all languages together.
 DOCS_PER_LANGUAGE = 4_000
-WORD_ENTRIES = 200_000
-GRAM_ENTRIES = 100_000
+WORD_ENTRIES = 80_000
+GRAM_ENTRIES = 32_000
 LONGEST_GRAM = 5
-ROOM = 300_000
+ROOM = 200_000
 
 _words = re.compile(r"[^\W\d_]+").findall
 
