@@ -27,7 +27,7 @@ from stockloom.llm.bpe import WordEncoder
 from stockloom.llm.shared import arrow_schema, slices, stored
 
 CAPACITY = 2048
-SALT_ROWS = 50_000
+SALT_ROWS = 2_000
 
 Kind = tuple[int, list[tuple[int, int]]]  # number of sequences; (length, pieces) in each
 
