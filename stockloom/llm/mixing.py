@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stockloom.llm.shared import WORD, arrow_schema, stored
 
-SEGMENT_ROWS = 50_000
+SEGMENT_ROWS = 2_000
 EXACT = "decimal(38,6)"
 CLOSE = 1e-9
 
