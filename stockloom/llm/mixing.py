@@ -17,10 +17,11 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm.shared import WORD, arrow_schema, stored
+from stockloom.operators.ordering import row_position
 
 SEGMENT_ROWS = 2_000
 EXACT = "decimal(38,6)"
@@ -43,10 +44,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     until all is given out. Each round is one sum over the sources.
     """
     sums = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    # one row a source
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.lit(list(weights)), F.col("sid") % len(weights) + 1)
-    sources = stored(sums.withColumn("sid", number).withColumn("weight", weight), "sources")
+    sources = row_position(sums.withColumn("unnamed", F.col("source").isNull()), ["unnamed", "source"], "sid")
+    weight = F.element_at(F.lit(list(weights)), (F.col("sid") % len(weights) + 1).cast("int"))
+    sources = stored(sources.select("sid", "source", "source_size", "docs", weight.alias("weight")), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     budget, level = share * total, 0.0
     while True:
@@ -125,7 +125,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     )
     words = F.col("size") * F.col("rows")
     ordered = rated.repartition("sid", "segment").sortWithinPartitions("sid", "segment", words.desc(), "size", "doc_id")
-    schema = "sid int, doc_id long, size long, rows long, copies long"
+    schema = "sid long, doc_id long, size long, rows long, copies long"
     target = arrow_schema(schema)
 
     def diffuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
