@@ -167,17 +167,27 @@ def norm(salt: str) -> str:
             f" * cos(2.0 * pi() * ({_word(m, 1)} / 4294967296.0)))")
 
 
+def _day_word(nth: str) -> str:
+    digest = _md5("'days' || (i // 4)")
+    return f"CAST(CAST(('0x' || substr({digest}, CAST(1 + 8 * (2 * ((i // 2) % 2) + {nth}) AS INT), 8)) AS UBIGINT) AS DOUBLE)"
+
+
+# day i takes the cosine or sine of pair i // 2, whose words come from digest i // 4
+DAY_NORM = (f"(sqrt(-2.0 * ln(({_day_word('0')} + 0.5) / 4294967296.0)) * CASE WHEN i % 2 = 0"
+            f" THEN cos(2.0 * pi() * ({_day_word('1')} / 4294967296.0)) ELSE sin(2.0 * pi() * ({_day_word('1')} / 4294967296.0)) END)")
+
+
 def forecast(policy: str, noise: bool = False, source: str = "est") -> str:
     """CTEs ``days`` (one row per row and day) and ``fc`` (one row per row with lists and totals)."""
     if policy == "A":
         value = "demand * CASE WHEN isodow(d) >= 6 THEN 1.2 ELSE 1.0 END"
         if noise:
-            value += f" * (1.0 + 0.15 * {norm(chr(39) + 'day' + chr(39) + ' || i')})"
+            value += f" * (1.0 + 0.15 * {DAY_NORM})"
         floor = "5.0"
     else:
         value = f"demand * CASE WHEN isodow(d) >= 6 THEN 0.9 ELSE 1.1 END * ({_MONTHS})[month(d)]"
         if noise:
-            value += f" * greatest(0.7, least(1.3, 1.0 + 0.1 * {norm(chr(39) + 'day' + chr(39) + ' || i')}))"
+            value += f" * greatest(0.7, least(1.3, 1.0 + 0.1 * {DAY_NORM}))"
         floor = "0.0"
     return f""",
 days AS (

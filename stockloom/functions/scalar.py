@@ -71,8 +71,8 @@ def float_text(c: Column) -> Column:
     return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
 
 
-def _word(digest: Column, nth: int) -> Column:
-    return F.conv(F.substr(digest, F.lit(1 + 8 * nth), F.lit(8)), 16, 10).cast("double")
+def _word(digest: Column, nth: int | Column) -> Column:
+    return F.conv(F.substr(digest, 1 + 8 * (F.lit(nth) if isinstance(nth, int) else nth), F.lit(8)), 16, 10).cast("double")
 
 
 def keyed_digest(keys: Iterable[Column], salt: Column, seed: int) -> Column:
@@ -92,6 +92,12 @@ def digest_normal(digest: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 
+def digest_polar(digest: Column, first: Column) -> Column:
+    """Radius and angle (Box-Muller) from two words of a digest: radius times cosine and radius times sine are two normals."""
+    radius = F.sqrt(-2.0 * F.log((_word(digest, first) + 0.5) / TWO32))
+    return F.struct(radius.alias("radius"), (2.0 * math.pi * (_word(digest, first + 1) / TWO32)).alias("angle"))
+
+
 def uniform(keys: Iterable[Column], salt: str, low: float, high: float, mode: str, seed: int = 42) -> Column:
     """Uniform factor on [low, high); its mean in mode ``off``."""
     if mode == "off":

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.scalar import digest_normal, keyed_digest, round_half_even
+from stockloom.functions.scalar import digest_polar, keyed_digest, round_half_even
 from stockloom.functions.values import HORIZON, LEAD_DAYS, Policy
 from stockloom.operators.demand import NOISE_KEY
 
@@ -93,13 +93,20 @@ def daily_forecast(df: DataFrame, policy: Policy, as_of: str, noise: str = "off"
     if noise == "off":
         return steady_forecast(df, policy, as_of).drop("total_30day", "lead_time_demand")
     keys = [F.col(c) for c in NOISE_KEY if c in df.columns]
-    days = F.transform(_calendar(policy, as_of), lambda d: F.struct(
-        d.alias("day"), keyed_digest(keys, F.concat(F.lit("day"), d["i"].cast("string")), seed).alias("digest")
+    blocks = F.array(*map(F.lit, range(-(-HORIZON // 4))))
+    pairs = F.array(*map(F.lit, range(-(-HORIZON // 2))))
+    out = df.withColumn("_digests", F.transform(
+        blocks, lambda b: keyed_digest(keys, F.concat(F.lit("days"), b.cast("string")), seed)
+    ))
+    # four words of a digest make two pairs of normals
+    out = out.withColumn("_pairs", F.transform(
+        pairs, lambda p: digest_polar(F.get(F.col("_digests"), (p / 2).cast("int")), 2 * (p % 2))
     ))
 
-    def raw(element: Column) -> Column:
-        day = element["day"]
-        factor = 1.0 + policy.noise_sd * digest_normal(element["digest"])
+    def raw(day: Column) -> Column:
+        pair = F.get(F.col("_pairs"), (day["i"] / 2).cast("int"))
+        normal = pair["radius"] * F.when(day["i"] % 2 == 0, F.cos(pair["angle"])).otherwise(F.sin(pair["angle"]))
+        factor = 1.0 + policy.noise_sd * normal
         if policy.noise_low is not None:
             factor = F.greatest(F.lit(policy.noise_low), F.least(F.lit(policy.noise_high), factor))
         return F.struct(day["date"].alias("date"), (F.col("demand") * day["level"] * day["season"] * factor).alias("raw"))
@@ -108,8 +115,8 @@ def daily_forecast(df: DataFrame, policy: Policy, as_of: str, noise: str = "off"
         value = F.greatest(F.lit(policy.daily_floor), round_half_even(day["raw"], 2))
         return F.struct(day["date"].alias("date"), value.alias("demand"))
 
-    out = df.withColumn("forecast", F.transform(F.transform(days, raw), demand))
-    return out.withColumn("forecast", with_trend(F.col("forecast")))
+    out = out.withColumn("forecast", F.transform(F.transform(_calendar(policy, as_of), raw), demand))
+    return out.withColumn("forecast", with_trend(F.col("forecast"))).drop("_digests", "_pairs")
 
 
 def demand_sum(days: Column) -> Column:
