@@ -271,11 +271,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each component, with its own columns: the one that names it."""
-    kept = near_duplicates(docs, words, radius, seed).select(
-        F.col("component_id").alias("_kept_id"), F.col("component_key").alias("_kept_key")
-    ).distinct()
-    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_key": F.xxhash64("text")})
-    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_key") == F.col("_kept_key"))
-    first = F.row_number().over(Window.partitionBy("_own_id", "_own_key").orderBy(F.lit(0)))
-    return keyed.join(kept, same, "left_semi").withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    """One row of ``docs`` for each component, with its own columns: the one that names it.
+
+    The join and the choice among repeated rows share their key, and so one shuffle of the texts; for that a null id is told by a
+    flag, as a null-safe comparison would hide the key.
+    """
+
+    def key(doc_id: Column, text_key: Column) -> dict[str, Column]:
+        doc_id = doc_id.cast("long")
+        return {"_kept_null": doc_id.isNull(), "_kept_id": F.coalesce(doc_id, F.lit(0)), "_kept_key": text_key}
+
+    names = ["_kept_null", "_kept_id", "_kept_key"]
+    kept = near_duplicates(docs, words, radius, seed).withColumns(key(F.col("component_id"), F.col("component_key")))
+    keyed = docs.withColumns(key(F.col("doc_id"), F.xxhash64("text")))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+    chosen = keyed.join(kept.select(*names).distinct(), names, "left_semi").withColumn("_kept_row", first)
+    return chosen.filter("_kept_row = 1").select(*docs.columns)
