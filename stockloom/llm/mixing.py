@@ -159,16 +159,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The documents themselves, each row as often as the mix takes it."""
-    decided = copies(docs, weights, share, most).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        F.col("copies").cast("int").alias("_mix_copies"),
-    ).filter("_mix_copies > 0")
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
-        & F.col("source").eqNullSafe(F.col("_mix_source"))
-        & (word_count() == F.col("_mix_size"))
+    """The documents themselves, each row as often as the mix takes it.
+
+    The words are counted once, into a column: as part of the join's condition they would be counted for every comparison.
+    """
+
+    def key(doc_id: Column, source: Column, size: Column) -> dict[str, Column]:
+        return {
+            "_mix_unnamed": doc_id.isNull(), "_mix_id": F.coalesce(doc_id, F.lit(0)),
+            "_mix_nowhere": source.isNull(), "_mix_source": F.coalesce(source, F.lit("")), "_mix_size": size,
+        }
+
+    taken = copies(docs, weights, share, most).filter("copies > 0")
+    taken = taken.select(
+        *(c.alias(n) for n, c in key(F.col("doc_id"), F.col("source"), F.col("size")).items()), F.col("copies").cast("int").alias("_mix_copies")
     )
-    joined = docs.join(decided, same)
-    taken = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return taken.select(*docs.columns)
+    keyed = docs.withColumns(key(F.col("doc_id").cast("long"), F.col("source"), word_count()))
+    joined = keyed.join(taken, [c for c in taken.columns if c != "_mix_copies"])
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
