@@ -12,22 +12,28 @@ learned. Repeated rows are judged alike, an empty table gives no rows. Columns b
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.docstats import held_out
 from stockloom.llm.shared import by_batch
 
-#: Documents of one language that are counted, and entries the model keeps of all languages together.
+#: Documents of one language that are counted, and entries the model keeps of each language (n-grams: of each length).
 DOCS_PER_LANGUAGE = 4_000
-WORD_ENTRIES = 80_000
-GRAM_ENTRIES = 32_000
+WORD_ENTRIES = 200_000
+GRAM_ENTRIES = 100_000
 LONGEST_GRAM = 5
-ROOM = 200_000
+ROOM = 150_000
+TOGETHER = 64
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -41,57 +47,157 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Table:
+    """Entries in the order of their XXH64 hash, each with its penalties in the languages that have it.
+
+    All are flat arrays: ``text[ends[i]:ends[i + 1]]`` is entry ``i``, its languages and penalties lie from ``starts[i]`` on.
+    """
+
+    def __init__(self, width: int, unknown: float, keys: np.ndarray, text: bytes, ends: array, starts: np.ndarray, languages: np.ndarray, penalties: np.ndarray):
+        self.plain = (width, unknown, keys, text, ends, starts, languages, penalties)
+        self.width, self.unknown, self.keys, self.text, self.ends, self.starts, self.languages, self.penalties = self.plain
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.text[self.ends[i] : self.ends[i + 1]].decode() for i in range(len(self)))
+
+    def find(self, entries: list[str]) -> np.ndarray:
+        """Places of the entries, -1 for unknown ones."""
+        raw = [e.encode() for e in entries]
+        hashed = np.frombuffer(b"".join([xxhash.xxh64_digest(r, 42) for r in raw]), ">u8").astype(np.uint64).view(np.int64)
+        places = np.searchsorted(self.keys, hashed)
+        found = np.zeros(len(raw), dtype=bool)
+        inside = places < len(self)
+        found[inside] = self.keys[places[inside]] == hashed[inside]
+        text, ends = self.text, self.ends
+        for k, i in zip(np.flatnonzero(found).tolist(), places[found].tolist(), strict=True):
+            if text[ends[i] : ends[i + 1]] != raw[k]:  # another entry of the same hash
+                same = range(i + 1, int(np.searchsorted(self.keys, hashed[k], "right")))
+                places[k] = next((j for j in same if text[ends[j] : ends[j + 1]] == raw[k]), -1)
+        return np.where(found, places, -1)
+
+    def __getitem__(self, entry: str) -> int:
+        if (i := int(self.find([entry])[0])) < 0:
+            raise KeyError(entry)
+        return i
+
+    def means(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Mean penalties in each language over groups of so many places; an unknown entry, -1, has the same in all."""
+        groups = np.repeat(np.arange(len(sizes)), sizes)[places >= 0]
+        first = self.starts[places[places >= 0]]
+        counts = self.starts[places[places >= 0] + 1] - first
+        at = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+        cells = np.repeat(groups, counts) * self.width + self.languages[at]
+        sums = np.bincount(cells, self.penalties[at] - self.unknown, minlength=len(sizes) * self.width)
+        return self.unknown + sums.reshape(len(sizes), self.width) / np.maximum(sizes, 1)[:, None]
+
+
+class Rows:
+    """Penalties of a table's entries in all languages, by place."""
+
+    def __init__(self, table: Table):
+        self.table = table
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.table.means(np.array([i]), np.array([1]))[0]
+
+
 @dataclass(frozen=True)
 class Model:
     """Penalties (minus the decimal logarithm of the frequency) of every known word and n-gram in each language."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_rows: np.ndarray
-    grams: list[dict[str, int]]  # by length, from 1
-    gram_rows: list[np.ndarray]
+    words: Table
+    grams: list[Table]  # by length, from 1
     unknown: float
 
+    @property
+    def word_rows(self) -> Rows:
+        return Rows(self.words)
+
+    def penalties(self, words: list[str]) -> np.ndarray:
+        places = self.words.find(words)
+        out = self.words.means(places, np.ones(len(words), dtype=int))
+        others = np.flatnonzero(places < 0)
+        if len(others):
+            out[others] = self.backoffs([words[i] for i in others.tolist()])
+        return out
+
     def backoff(self, word: str) -> np.ndarray:
+        return self.backoffs([word])[0]
+
+    def backoffs(self, words: list[str]) -> np.ndarray:
+        out = np.full((len(words), len(self.languages)), self.unknown)
+        left = np.arange(len(words))
         for n in range(LONGEST_GRAM, 0, -1):
-            known = self.grams[n - 1]
-            found = [known.get(g, -1) for g in grams(word, n)]
-            if any(i >= 0 for i in found):
-                return self.gram_rows[n - 1][found].mean(axis=0)  # the last row is that of unknown n-grams
-        return np.full(len(self.languages), self.unknown)
+            cut = [grams(words[i], n) for i in left.tolist()]
+            sizes = np.array([len(c) for c in cut], dtype=int)
+            places = self.grams[n - 1].find([g for c in cut for g in c])
+            some = np.bincount(np.repeat(np.arange(len(left)), sizes)[places >= 0], minlength=len(left)) > 0
+            out[left[some]] = self.grams[n - 1].means(places, sizes)[some]
+            left = left[~some]
+            if not len(left):
+                break
+        return out
+
+
+class Places(dict):
+    """Rows of the words met; a new word gets its row from ``add``."""
+
+    def __init__(self, add: Callable[[list[str]], None]):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        self.add([word])
+        return self[word]
 
 
 class Scorer:
-    """Applies a model, remembering the rows of at most ``ROOM`` unseen words."""
+    """Applies a model, remembering the rows of at most ``ROOM`` words."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.places = dict(self.model.words)
-        self.rows = np.empty((len(self.places) + ROOM + 1, len(self.model.languages)), dtype=np.float32)
-        self.rows[: len(self.places)] = self.model.word_rows
-        self.used = len(self.places)
+        self.rows = np.empty((ROOM, len(model.languages)), dtype=np.float32)
+        self.places = Places(self.add)
+
+    def add(self, new: list[str]) -> None:
+        """Give rows to new words, at most ``ROOM``; if there is no room left, all others are forgotten."""
+        if len(self.places) + len(new) > len(self.rows):
+            self.places.clear()
+        used = len(self.places)
+        self.rows[used : used + len(new)] = self.model.penalties(new)
+        self.places.update(zip(new, range(used, used + len(new)), strict=True))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The words of some texts are looked up together."""
+        out = []
+        for start in range(0, len(texts), TOGETHER):
+            found = [*map(words_of, texts[start : start + TOGETHER])]
+            new = set().union(*found).difference(self.places)
+            if new and len(new) <= ROOM // 2:
+                self.add([*new])
+            out += map(self.of_words, found)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
+        return self.of_words(words_of(text))
+
+    def of_words(self, words: list[str]) -> tuple[str, float]:
         languages = self.model.languages
         if not words or not languages:
             return "und", 0.0
         total = np.zeros(len(languages))
         for start in range(0, len(words), ROOM // 2):
             part = words[start : start + ROOM // 2]
-            try:
-                found = [*map(self.places.__getitem__, part)]
-            except KeyError:
-                if self.used + len(part) > len(self.rows):
-                    self.reset()
-                for w in part:
-                    if w not in self.places:
-                        self.rows[self.used] = self.model.backoff(w)
-                        self.places[w] = self.used
-                        self.used += 1
+            found = [*map(self.places.get, part)]
+            if None in found:
+                new = [*{w for w, i in zip(part, found, strict=True) if i is None}]
+                if len(self.places) + len(new) > ROOM:
+                    self.places.clear()
+                    new = [*set(part)]
+                self.add(new)
                 found = [*map(self.places.__getitem__, part)]
             total += self.rows[found].sum(axis=0, dtype=np.float64)
         mean = total / len(words)
@@ -107,15 +213,15 @@ def _learns(doc_id: Column) -> Column:
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entries: int = WORD_ENTRIES, gram_entries: int = GRAM_ENTRIES) -> Model:
     """Count words and n-grams of documents that are not held out.
 
-    About ``docs_per_language`` documents of each language are counted, chosen by a hash of their id. The most frequent entries of
-    each language are kept, ``word_entries`` and ``gram_entries`` (for each length) shared between all languages: the bound of what
-    reaches the driver and the tasks.
+    About ``docs_per_language`` documents of each language are counted, chosen by a hash of their id. The words of each language
+    that occur twice and its n-grams are kept, at most the ``word_entries`` and ``gram_entries`` (for each length) most frequent:
+    the bound of what reaches the driver and the tasks, for each language. A kept entry has its counts of all languages.
     """
     fits = docs.filter(_learns(F.col("doc_id")) | F.col("doc_id").isNull()).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["docs"] for r in fits.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, np.zeros((0, 0)), [{}] * LONGEST_GRAM, [np.zeros((1, 0))] * LONGEST_GRAM, 0.0)
+        return Model([], _empty(0), [_empty(0)] * LONGEST_GRAM, 0.0)
     # a literal of one number a language: the texts stay where they are
     shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, docs_per_language / sizes[lang])))
     place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) / 1_000_000
@@ -141,27 +247,48 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entr
     counted = counted.groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("lang", "length"))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "entry"))
-    room = F.when(F.col("length") == 0, word_entries // len(languages)).otherwise(gram_entries // len(languages))
-    kept = counted.withColumn("total", total).withColumn("rank", rank).filter(F.col("rank") <= room).drop("rank")
-    table = kept.filter((F.col("n") > 1) | (F.col("length") > 0)).toPandas().sort_values(["length", "entry", "lang"])
-    unknown = 1.0 + float(np.log10(max(table["total"].max(), 1))) if len(table) else 1.0
-    number = {x: i for i, x in enumerate(languages)}
+    room = F.when(F.col("length") == 0, word_entries).otherwise(gram_entries)
+    counted = counted.withColumn("total", total).withColumn("rank", rank)
+    own = (F.col("rank") <= room) & ((F.col("n") > 1) | (F.col("length") > 0))
+    kept = counted.withColumn("kept", F.max(own).over(Window.partitionBy("length", "entry"))).filter("kept")
+    kept = kept.select("length", F.xxhash64("entry").alias("key"), "entry", "lang", "n", "total").toArrow()
+    return _model(languages, kept.sort_by([(c, "ascending") for c in ("length", "key", "entry", "lang")]))
+
+
+def _empty(width: int, unknown: float = 0.0) -> Table:
+    return Table(width, unknown, np.zeros(0, np.int64), b"", array("q", [0]), np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32))
+
+
+def _model(languages: list[str], counts: pa.Table) -> Model:
+    """The model of the counts ``length, key, entry, lang, n, total`` in this order."""
+    width = len(languages)
+    unknown = 1.0 + float(np.log10(max(pc.max(counts["total"]).as_py(), 1))) if len(counts) else 1.0
+    lengths = counts["length"].to_numpy()
     tables = []
     for n in range(LONGEST_GRAM + 1):
-        part = table[table["length"] == n]
-        places = {e: i for i, e in enumerate(dict.fromkeys(part["entry"]))}
-        rows = np.full((len(places) + 1, len(languages)), unknown, dtype=np.float32)
-        penalty = -np.log10(part["n"].to_numpy(float) / part["total"].to_numpy(float))
-        rows[part["entry"].map(places).to_numpy(int), part["lang"].map(number).to_numpy(int)] = penalty
-        tables.append((places, rows))
-    return Model(languages, tables[0][0], tables[0][1][:-1], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]], unknown)
+        first, last = np.searchsorted(lengths, [n, n + 1])
+        part = counts.slice(first, last - first)
+        if not len(part):
+            tables.append(_empty(width, unknown))
+            continue
+        entries = pa.concat_arrays(part["entry"].cast(pa.large_binary()).chunks)
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(entries[1:], entries[:-1]).to_numpy(zero_copy_only=False)])
+        entries = entries.take(pa.array(starts))
+        ends = np.frombuffer(entries.buffers()[1], np.int64)[: len(entries) + 1]
+        penalties = -np.log10(part["n"].to_numpy() / part["total"].to_numpy())
+        tables.append(Table(
+            width, unknown, part["key"].to_numpy()[starts], entries.buffers()[2].to_pybytes()[: ends[-1]],
+            array("q", ends.tobytes()), np.r_[starts, len(part)],
+            pc.index_in(part["lang"], pa.array(languages)).to_numpy().astype(np.uint16), penalties.astype(np.float32),
+        ))
+    return Model(languages, tables[0], tables[1:], unknown)
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document; predictions read the text only."""
     learned = learn(docs)
     # plain values: a broadcast is pickled by reference to its classes
-    values = tuple(getattr(learned, f.name) for f in fields(learned))
+    values = (learned.languages, learned.words.plain, [t.plain for t in learned.grams], learned.unknown)
     model = docs.sparkSession.sparkContext.broadcast(values)
 
     class Kept:
@@ -169,8 +296,9 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         if Kept.scorer is None:
-            Kept.scorer = Scorer(Model(*model.value))
-        found = [Kept.scorer.predict(t) for t in rows["text"]]
+            languages, words, grams, unknown = model.value
+            Kept.scorer = Scorer(Model(languages, Table(*words), [Table(*t) for t in grams], unknown))
+        found = Kept.scorer.predict_all(rows["text"])
         return {
             "doc_id": rows["doc_id"], "held_out": [held_out(x) for x in rows["doc_id"]],
             "lang_pred": [x for x, _ in found], "score": [x for _, x in found],

@@ -360,3 +360,18 @@ def test_backoff(docs):
     assert np.allclose(scorer.rows[scorer.places[known]], model.word_rows[model.words[known]])
     gram = next(g for g in model.grams[4])
     assert model.backoff("zzzz").shape == (len(model.languages),) and np.isfinite(model.backoff(gram.strip())).all()
+
+
+def test_no_entry_is_lost_to_other_languages(spark):
+    """Every language keeps all its repeated words, however many languages there are, and a kept word its counts in all of them."""
+    digits = str.maketrans("0123456789", "abcdefghij")
+    words = {f"l{i}": [f"{i:02}x{j:04}".translate(digits) for j in range(2100)] for i in range(40)}
+    rows = [(None, " ".join(ws * 2), lang) for lang, ws in words.items()]
+    many = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=10**6)
+    assert set(many.words) == {w for ws in words.values() for w in ws}
+    both = spark.createDataFrame([(None, "aa aa aa bb bb", "a"), (None, "cc cc cc aa dd dd", "b")], "doc_id long, text string, lang string")
+    few = langid.learn(both, docs_per_language=10**6, word_entries=1)
+    assert sorted(few.words) == ["aa", "cc"]
+    assert np.allclose(few.word_rows[few.words["aa"]], -np.log10([3 / 5, 1 / 6]))
+    assert np.allclose(few.word_rows[few.words["cc"]], [few.unknown, -np.log10(3 / 6)])
+    assert all(t.find([*t, "none"]).tolist() == [*range(len(t)), -1] for t in [many.words, *many.grams])
