@@ -1,9 +1,11 @@
 """Secret scans: known patterns, and strings in sensitive places that zstandard cannot compress.
 
-A candidate is a long string of letters, digits and a few marks, of at least two of the three kinds lower case, upper case and digit,
-that a sensitive word precedes on its line. Its novelty is the number of bytes it adds when it is compressed between the text around
-it, by a compressor primed with a dictionary of identifiers, for each of its characters: names made of known words add few, random
-strings about one. Candidates above the threshold that touch no known pattern are reported as ``novel``.
+A candidate is a long string of letters, digits and a few marks that a sensitive word precedes closely, on its line or those before,
+or that stands in an open PEM block. Words begin and end at case changes too (``secretKey``), may be joined (``accesskey``) and in the
+plural. A word that ends its line with no mark between it and the string is a heading, not a name. The novelty of a candidate is the
+number of bytes it adds when it is compressed between the text around it, by a compressor primed with a dictionary of identifiers,
+for each of its characters: names made of known words add few, random strings about one. Candidates above the threshold that touch
+no known pattern are reported as ``novel``.
 
 Null and empty texts have no spans; each row stands for itself, an empty table gives no rows. Spans count code points, the end is
 exclusive; spans of one start are in the order of :data:`KINDS`. Columns besides ``doc_id`` and ``text`` are ignored.
@@ -62,14 +64,17 @@ access_token refresh_token api_key private_key public_key user_name password= to
 """
 
 THRESHOLD = 0.62
-BEFORE, AFTER, NEAR = 256, 128, 64
+BEFORE, AFTER, NEAR, LEAST = 256, 128, 64, 16
 
 _assign = re.compile(ASSIGN).finditer
 _access = re.compile(ACCESS).finditer
 _hex = re.compile(HEX).finditer
 _candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}").finditer
-_sensitive = re.compile(rf"(?ai:(?<![a-z])(?:{'|'.join(SENSITIVE)})(?![a-z]))").search
-_kinds = (re.compile("[a-z]").search, re.compile("[A-Z]").search, re.compile("[0-9]").search)
+_value = re.compile("(?<==)[^=]").finditer  # what follows a name in the same string
+_camel = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+_name = rf"(?:(?<![A-Za-z])|{_camel})(?ai:(?:{'|'.join(SENSITIVE)})+(?:e?s)?)(?:(?![A-Za-z])|{_camel})"
+_sensitive = re.compile(rf"{_name}(?![^\S\n]*\n\s*\Z)").search
+_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----").finditer
 #: What a text with an assignment contains in lower case.
 WORDS = ("passw", "secret", "token", "api")
 
@@ -107,19 +112,28 @@ class Novelty:
         return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
 
 
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Where PEM blocks of a sensitive kind are open: from the header to its END line, or to the end of the text."""
+    blocks = []
+    for m in _pem(text) if "-----BEGIN" in text else ():
+        if _sensitive(m[1]):
+            end = text.find(f"-----END {m[1]}-----", m.end())
+            blocks.append((m.end(), end if end >= 0 else len(text)))
+    return blocks
+
+
 def novel_spans(text: str, known: list[Span], novelty: Novelty) -> list[Span]:
-    if not _sensitive(text):
-        return []
     spans = []
+    blocks = pem_blocks(text)
     for m in _candidate(text):
         start, end = m.span()
-        if sum(bool(k(m.group())) for k in _kinds) < 2:
-            continue
         if any(a < end and start < b for a, _, b in known):
             continue
-        near = text[max(0, start - NEAR) : start].rpartition("\n")[2]
-        if _sensitive(near) and novelty.of(text, start, end) >= THRESHOLD:
-            spans.append((start, 3, end))
+        for at in (start, *(start + i.start() for i in _value(m.group()))):
+            placed = _sensitive(text[max(0, at - NEAR) : at]) or any(a <= at < b for a, b in blocks)
+            if end - at >= LEAST and placed and novelty.of(text, at, end) >= THRESHOLD:
+                spans.append((at, 3, end))
+                break
     return spans
 
 
