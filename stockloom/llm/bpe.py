@@ -33,13 +33,17 @@ class WordEncoder:
     Both vocabularies end a token where white space follows other characters and where punctuation follows a word, so a text
     can be encoded piece by piece and the ids of a piece remembered. ``keeps_space``: the white space before a word belongs to
     its tokens (byte-level vocabularies); otherwise it is dropped, and letters are lowered. A text with rarer white space is
-    encoded in one go where space counts. At most ``room`` pieces are remembered, so memory is bounded.
+    encoded in one go where space counts. A text that contains a special string of the vocabulary is encoded in one go too, and gets
+    its id as the plain tokenizer gives it; with ``escape`` such strings are letters like others. At most ``room`` pieces are remembered, so memory is bounded.
     """
 
-    def __init__(self, name: str, keeps_space: bool, room: int = 600_000):
+    def __init__(self, name: str, keeps_space: bool, room: int = 600_000, escape: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = escape
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case of letters: a piece is lowered, a special string is not
+        self.special = re.compile("|".join(special), re.IGNORECASE) if special and not escape else None
         self.odd = re.compile(ODD_SPACE) if keeps_space else None
         self.find = (SPACED if keeps_space else UNSPACED).findall
         self.word = re.compile(rf" ?[{LETTERS}]+" if keeps_space else rf"[{LETTERS}]+").fullmatch
@@ -49,6 +53,8 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.odd is None:
             text = text.lower() if text.isascii() else text
         elif self.odd.search(text):

@@ -171,14 +171,16 @@ def places(kinds: list[Kind], capacity: int = CAPACITY) -> dict[str, np.ndarray]
     return dict(zip(("length", "first", "sequence", "each", "offset"), columns, strict=True))
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
+def pieces_of(
+    docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int, capacity: int, with_ids: bool, escape: bool = False
+) -> DataFrame:
     """Token ids of every document, its end id last, in pieces of at most ``capacity``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     target = arrow_schema(schema)
     end, width = struct.pack("<I", end_id), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary, keeps_space)
+        encoder = WordEncoder(vocabulary, keeps_space, escape=escape)
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -195,15 +197,16 @@ def pieces_of(docs: DataFrame, vocabulary: str, keeps_space: bool, end_id: int,
 
 def pack_documents(
     docs: DataFrame, vocabulary: str = "word_bpe_49k.json", keeps_space: bool = False, end_id: int = 0,
-    capacity: int = CAPACITY, with_ids: bool = False,
+    capacity: int = CAPACITY, with_ids: bool = False, escape: bool = False,
 ) -> DataFrame:
     """Place every piece of every document: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
+    Special strings in texts get their own ids, as the tokenizer does by default, unless ``escape`` is set.
     Pieces of a length are numbered within salts of about ``SALT_ROWS`` rows, so a length that most pieces share is spread
     over many tasks.
     """
     spark = docs.sparkSession
-    pieces = stored(pieces_of(docs, vocabulary, keeps_space, end_id, capacity, with_ids), "pieces")
+    pieces = stored(pieces_of(docs, vocabulary, keeps_space, end_id, capacity, with_ids, escape), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = spark.sparkContext.broadcast(places(pack_counts(counts, capacity), capacity))
     salts = [1 + counts.get(length, 0) // SALT_ROWS for length in range(capacity + 1)]

@@ -101,13 +101,15 @@ def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", keeps_space: bool = True, end_id: int = 0
+    docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", keeps_space: bool = True, end_id: int = 0,
+    escape: bool = False,
 ) -> DataFrame:
     """Encode ``docs`` into files under ``folder``, one for each range of document ids; returns the table of the files.
 
     Texts are shuffled once, to their range. A task streams its sorted rows into a file of its own under another name and
     renames it when it is complete, so a repeated task writes the same file again. The folder must be one that all executors
-    reach, by a scheme of pyarrow's file systems.
+    reach, by a scheme of pyarrow's file systems. Special strings in texts get their own ids, as the tokenizer does by default,
+    unless ``escape`` is set.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -127,7 +129,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        encoder = WordEncoder(vocabulary, keeps_space)
+        encoder = WordEncoder(vocabulary, keeps_space, escape=escape)
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
         name = f"ids-{shard:06d}.zst"

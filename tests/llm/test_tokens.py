@@ -30,6 +30,29 @@ def test_encoder(name, keeps):
         assert len(encoder.known) <= 10
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>y\n", "A <|EndOfText|> B", "é <|ENDOFTEXT|>\xa0z", "<|endoftext|", "a<|endoftext|>  \n b c"]
+
+
+def plain_ids(name, text):
+    return np.array(Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+@pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_strings(name, keeps):
+    encoder = WordEncoder(name, keeps, room=10, escape=False)
+    for text in [*TRICKY, *SPECIAL] * 2:
+        assert encoder.encode(text) == plain_ids(name, text)
+
+
+def test_special_strings_of_documents(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    packed = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack_documents(docs, with_ids=True).collect()}
+    tokenfile.write_token_files(docs, str(tmp_path / "a"))
+    filed = {r["doc_id"]: bytes(r["ids"]) for r in tokenfile.read_token_files(spark, str(tmp_path / "a")).collect()}
+    assert packed == {i: plain_ids("word_bpe_49k.json", t) + bytes(4) for i, t in enumerate(SPECIAL)}
+    assert filed == {i: plain_ids("byte_bpe_50k.json", t) + bytes(4) for i, t in enumerate(SPECIAL)}
+
+
 def test_file_format():
     out = io.BytesIO()
     writer = tokenfile.FrameWriter(out)
