@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import boosting, chat, langid, mixing, packing, phrases, rules, secrets, simhash, tokenfile
+from stockloom.llm import boosting, chat, langid, merkle, mixing, packing, phrases, rules, secrets, simhash, tokenfile
 from stockloom.llm.docstats import COUNTS
 from stockloom.llm.shared import table
 from stockloom.session import scratch_path
@@ -60,6 +61,12 @@ def op10_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"text": F.when(tampered, lowered).otherwise(F.col("text"))})
+
+
 QUERIES = {k: f for k, f in sorted(globals().items(), key=lambda x: x[0]) if re.match(r"op\d+_", k)}
 
 
@@ -69,6 +76,11 @@ def _escaped(text: str) -> str:
     return f"length({text}) + length({text}) - length(replace({text}, '\\', '')) + {found}"
 
 
+def _field(name: str) -> str:
+    """A leaf's field: byte count, colon, value; a minus for a null."""
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
 ORACLES: dict[str, str] = {
     "op1_chat": f"""
 WITH turns AS (
@@ -81,4 +93,58 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(chat.TURN + chat.TEXT + chat.END)} + {_escaped('r')} + {_escaped('t')}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op11_merkle": f"""
+WITH RECURSIVE table_of(i, c) AS (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) FROM range(256) t(i)
+), byte AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM table_of),
+docs AS (
+  SELECT *, translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS lowered,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]))) % 3 = 0 AS tampered
+  FROM documents, byte
+), fields AS (
+  SELECT doc_id, lang, tampered, {{}} || {{}} || {{}} || {{}} AS head, text, lowered FROM docs
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || {{}}) AS leaf, sha256(head || CASE WHEN tampered THEN {{}} ELSE {{}} END) AS claim FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), low(lang, lvl, pos, node, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 8, n
+), subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(coalesce(lang, ''))) - 1 AS pos, count(*) OVER () AS n
+  FROM low WHERE n = 1
+), high(lvl, pos, node, n) AS (
+  SELECT 0, pos, subroot, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY lvl, pos // 8, n
+), beside AS (
+  SELECT a.lang, a.lvl, a.pos,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM low a JOIN low b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), above AS (
+  SELECT a.lvl, a.pos,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM high a JOIN high b ON a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), climb(lang, place, lvl, pos, node, proof, top) AS (
+  SELECT lang, pos, 0, pos, claim, '', false FROM placed
+  UNION ALL
+  (SELECT c.lang, c.place, c.lvl + 1, c.pos // 8, sha256(b.l || c.node || b.r), c.proof || b.l || b.r, false
+   FROM climb c JOIN beside b ON c.lang IS NOT DISTINCT FROM b.lang AND c.lvl = b.lvl AND c.pos = b.pos WHERE NOT c.top
+   UNION ALL
+   SELECT c.lang, c.place, 0, s.pos, c.node, c.proof, true
+   FROM climb c JOIN low e ON c.lang IS NOT DISTINCT FROM e.lang AND c.lvl = e.lvl AND e.n = 1
+     JOIN subroots s ON c.lang IS NOT DISTINCT FROM s.lang WHERE NOT c.top
+   UNION ALL
+   SELECT c.lang, c.place, c.lvl + 1, c.pos // 8, sha256(a.l || c.node || a.r), c.proof || a.l || a.r, true
+   FROM climb c JOIN above a ON c.lvl = a.lvl AND c.pos = a.pos WHERE c.top)
+)
+SELECT p.doc_id, p.leaf, s.subroot, h.node AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = h.node AS verified
+FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high h ON h.n = 1
+  JOIN climb c ON c.top AND c.lvl = h.lvl AND c.lang IS NOT DISTINCT FROM p.lang AND c.place = p.pos""".format(
+        *(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text", "lowered", "text"))
+    ),
 }
