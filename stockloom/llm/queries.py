@@ -8,7 +8,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import boosting, chat, langid, merkle, mixing, packing, phrases, rules, secrets, simhash, tokenfile
+from stockloom.llm import boosting, chat, langid, merkle, mixing, packing, phrases, rules, secrets, simhash, suffixes, tokenfile
 from stockloom.llm.docstats import COUNTS
 from stockloom.llm.shared import table
 from stockloom.session import scratch_path
@@ -67,6 +67,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), {"text": F.when(tampered, lowered).otherwise(F.col("text"))})
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {k: f for k, f in sorted(globals().items(), key=lambda x: x[0]) if re.match(r"op\d+_", k)}
 
 
@@ -147,4 +155,20 @@ FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high h
   JOIN climb c ON c.top AND c.lvl = h.lvl AND c.lang IS NOT DISTINCT FROM p.lang AND c.place = p.pos""".format(
         *(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text", "lowered", "text"))
     ),
+    "op12_suffixes": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS p FROM d)),
+repeated AS (SELECT r, p FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+stepped AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS fresh FROM repeated),
+numbered AS (SELECT r, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM stepped),
+spans AS (SELECT r, i, min(p) AS s, max(p) + 200 AS e FROM numbered GROUP BY r, i),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM spans),
+pieces AS (
+  SELECT d.r, sum(e - s) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN d USING (r) GROUP BY d.r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (r)""",
 }
