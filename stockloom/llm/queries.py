@@ -157,7 +157,8 @@ FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high h
     ),
     "op12_suffixes": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-windows AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS p FROM d)),
+chunks AS (SELECT r, b, substr(h, 2 * b + 1, 798) AS x FROM (SELECT r, h, unnest(range(0, n - 199, 200)) AS b FROM d)),
+windows AS (SELECT r, b + o AS p, hash(substr(x, 2 * o + 1, 400)) AS k FROM chunks, range(200) t(o) WHERE length(x) >= 2 * o + 400),
 repeated AS (SELECT r, p FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
 stepped AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS fresh FROM repeated),
 numbered AS (SELECT r, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM stepped),

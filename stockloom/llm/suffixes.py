@@ -8,8 +8,8 @@ positions with one anchor, and the bytes they reach over, is the anchor's contex
 Anchors found once have no repeats. Where all contexts of an anchor are equal, all of its positions are repeats and no text is
 needed. Only where contexts differ is one text of each context fetched; its suffixes are sorted with those of the bucket, neighbours'
 common prefixes are measured, and previous and next smaller positions in suffix order give each suffix its longest previous factor and
-where that is. A suffix with a previous factor of ``length`` is a later copy, and the place of that factor an earlier one. Buckets
-of more than ``HOT_CONTEXTS`` different contexts are counted by a hash of each whole string instead, which no task holds together.
+where that is. A suffix with a previous factor of ``length`` is a later copy, and the place of that factor an earlier one. A bucket
+of more than ``HOT_CONTEXTS`` different contexts is cut into smaller ones by what surrounds the anchor, as often as need be.
 
 ``keep_first`` leaves the first copy, in order of id and place, and removes the later ones; without it all copies go. Removal is
 judged on the input. Null texts count as empty; a text shorter than ``length`` has no repeats; rows with a null id come last in order;
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,38 +253,72 @@ def judged(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, VERDICTS)
 
 
-def judged_hot(pieces: DataFrame, length: int) -> DataFrame:
-    """The same verdicts for buckets of any size: strings of equal hashes are counted, the least order is the first copy."""
-    pieces = pieces.select("anchor", "context", "order", "piece").dropDuplicates(["anchor", "context"])
-    schema = f"anchor long, context long, order {pieces.schema['order'].dataType.simpleString()}, window int, hash long, other long"
+def families(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """Cut contexts into parts whose windows have the anchor at places of one family of ``width``.
+
+    All windows of a family share the bytes around the anchor that each of them reaches, at least ``length - width + 1``; a hash of
+    these names the part's bucket. ``base`` is the part's first window in its context, ``before`` the windows before its anchor.
+    """
+    order = pieces.schema["order"].dataType.simpleString()
+    schema = f"anchor long, context long, order {order}, base long, bucket long, content long, before long, piece binary"
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.uint8)
-                n = len(data) - length + 1
-                h, other = np.zeros(n, dtype=np.uint64), np.full(n, 77, dtype=np.uint64)
-                hashes = piece_hashes(data)
-                for step in range(0, length, 32):
-                    part = hashes[min(step, length - 32) :][:n]
-                    h, other = joined(h, part), joined(other, part ^ _A)
-                same = pa.array(np.zeros(n, dtype=np.int64))
-                columns = [batch.column(k).slice(i, 1).take(same) for k in range(3)]
-                arrays = [*columns, pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(other.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target)
-
-    windows = stored(pieces.mapInArrow(run, schema), "repeat-windows")
-    counted = windows.groupBy("anchor", "hash", "other").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("least")).filter("n > 1")
-    flagged = windows.join(counted, ["anchor", "hash", "other"]).withColumn("later", F.col("order") > F.col("least"))
-
-    def spans(keep: Column) -> Column:
-        return F.transform(
-            F.sort_array(F.collect_list(F.when(keep, F.col("window").cast("long")))),
-            lambda w: F.struct(w.alias("lo"), (w + length).alias("hi")),
-        ).cast(SPANS)
-
-    return flagged.groupBy("anchor", "context").agg(spans(F.col("later")).alias("earlier"), spans(F.lit(True)).alias("repeated"))
+        for batch in slices(batches, 1 << 20):
+            out = []
+            for anchor, context, order, before, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lowest = before - (len(piece) - length)
+                for low in range(lowest - lowest % width, before + 1, width):
+                    first, last = before - min(before, low + width - 1), before - max(lowest, low)
+                    part = piece[first : last + length]
+                    common = piece[before - low : before - low - width + 1 + length]
+                    out.append({
+                        "anchor": anchor, "context": context, "order": order, "base": first, "before": before - first, "piece": part,
+                        "bucket": _signed(xxhash.xxh3_64_intdigest(common, low)), "content": _signed(xxhash.xxh3_64_intdigest(part, before - first)),
+                    })
+            yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return pieces.select("anchor", "context", "order", "before", "piece").mapInArrow(run, schema)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def judged_hot(pieces: DataFrame, length: int, hot: int, width: int) -> DataFrame:
+    """The same verdicts for buckets of any size.
+
+    Contexts are cut into families and meet only those that share more bytes; equal parts are one, with the number of them and the
+    first. A bucket still above ``hot`` different parts is cut finer; at width 1 a bucket's parts are all equal.
+    """
+    parts = stored(families(pieces.dropDuplicates(["anchor", "context"]), width, length), "repeat-parts")
+    counted = parts.groupBy("bucket", "content").agg(
+        F.min("order").alias("least"), F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("piece").alias("piece")
+    )
+    counted = stored(counted, "repeat-different")
+    sizes = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+    mixed_ones = counted.join(sizes, "bucket").select(
+        F.col("bucket").alias("anchor"), F.col("content").alias("context"), F.col("least").alias("order"), "before", "piece", "different"
+    )
+    found = judged(mixed_ones.filter(F.col("different") <= hot), length)
+    finer = mixed_ones.filter(F.col("different") > hot)
+    if width > 1 and not finer.isEmpty():
+        found = found.union(judged_hot(stored(finer, "repeat-finer"), length, hot, width // 2))
+    found = stored(found.withColumnsRenamed({"anchor": "bucket", "context": "content"}), "repeat-found")
+    verdicts = counted.filter("n > 1").select("bucket", "content").union(found.select("bucket", "content")).distinct()
+    verdicts = verdicts.join(counted.select("bucket", "content", "least", "n"), ["bucket", "content"]).join(found, ["bucket", "content"], "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.octet_length("piece").cast("long").alias("hi")))
+    none = F.array().cast(SPANS)
+    joined_ones = parts.join(verdicts, ["bucket", "content"]).select(
+        "anchor", "context", "base", F.when(F.col("order") > F.col("least"), whole).otherwise(F.coalesce("earlier", none)).alias("earlier"),
+        F.when(F.col("n") > 1, whole).otherwise(F.coalesce("repeated", none)).alias("repeated"),
+    )
+
+    def placed(name: str) -> Column:
+        moved = F.transform(name, lambda s: F.struct((s["lo"] + F.col("base")).alias("lo"), (s["hi"] + F.col("base")).alias("hi")))
+        return F.flatten(F.collect_list(moved)).alias(name)
+
+    return stored(joined_ones.groupBy("anchor", "context").agg(placed("earlier"), placed("repeated")), "repeat-judged")
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -304,7 +339,7 @@ def context_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     ``wanted`` has a document's key, and ``anchor, context, at, order, hot``.
     """
     order = wanted.schema["order"].dataType.simpleString()
-    schema = f"anchor long, context long, hot boolean, order {order}, piece binary"
+    schema = f"anchor long, context long, hot boolean, order {order}, before long, piece binary"
     target = arrow_schema(schema)
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "context", "hot", "order", "at")).alias("wanted"))
 
@@ -319,7 +354,7 @@ def context_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 for w in asked:
                     at = w.pop("at")
                     begin = (at >> 16) - (at >> 8 & 255)
-                    out.append({**w, "piece": text[begin : begin + (at & 255) + length]})
+                    out.append({**w, "before": at >> 8 & 255, "piece": text[begin : begin + (at & 255) + length]})
             yield pa.RecordBatch.from_pylist(out, schema=target)
 
     return _bytes(docs).join(lists, KEY).select(*KEY, "text", "wanted").mapInArrow(run, schema)
@@ -352,7 +387,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     wanted = contexts.filter("mixed").join(large.withColumn("hot", F.lit(True)).drop("c"), "anchor", "left")
     wanted = wanted.select("anchor", "context", F.coalesce("hot", F.lit(False)).alias("hot"), "first.order", "first.rid", "first.at")
     pieces = stored(context_pieces(docs, wanted.join(names, "rid"), length), "repeat-pieces")
-    verdicts = judged(pieces.filter("not hot"), length).union(judged_hot(pieces.filter("hot"), length))
+    widest = 1 << (length - gram).bit_length() - 1
+    verdicts = judged(pieces.filter("not hot"), length).union(judged_hot(pieces.filter("hot"), length, hot, widest))
     verdicts = contexts.join(verdicts, ["anchor", "context"], "left").select("anchor", "context", "n", "first", "earlier", "repeated")
 
     begin = place - F.shiftright("at", 8).bitwiseAND(255)
