@@ -8,7 +8,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import boosting, chat, langid, merkle, mixing, packing, phrases, rules, secrets, simhash, suffixes, tokenfile
+from stockloom.llm import boosting, chat, langid, merkle, mixing, packing, phrases, rules, search, secrets, simhash, suffixes, tokenfile
 from stockloom.llm.docstats import COUNTS
 from stockloom.llm.shared import table
 from stockloom.session import scratch_path
@@ -75,6 +75,10 @@ def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {k: f for k, f in sorted(globals().items(), key=lambda x: x[0]) if re.match(r"op\d+_", k)}
 
 
@@ -84,6 +88,11 @@ def _escaped(text: str) -> str:
     return f"length({text}) + length({text}) - length(replace({text}, '\\', '')) + {found}"
 
 
+def _terms(text: str) -> str:
+    lowered = f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"unnest(regexp_extract_all({lowered}, '{search.TERM}'))"
+
+
 def _field(name: str) -> str:
     """A leaf's field: byte count, colon, value; a minus for a null."""
     return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
@@ -172,4 +181,19 @@ pieces AS (
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN pieces USING (r)""",
+    "op13_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+held AS (SELECT r, doc_id, t, count(*) AS tf FROM (SELECT r, doc_id, {_terms('text')} AS t FROM d) GROUP BY ALL),
+lengths AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY r),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+weights AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY t, docs),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, {_terms('text')} AS t FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, r, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (t) JOIN weights USING (t) JOIN lengths USING (r), totals GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20""",
 }
