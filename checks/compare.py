@@ -12,7 +12,7 @@ from pathlib import Path
 
 import duckdb
 
-from checks.oracles import ORACLES
+from checks.models import ORACLES
 from stockloom.plans.catalog import QUERIES
 from stockloom.session import build_session
 

@@ -877,21 +877,5 @@ all_measured AS (
     100 * avg(2 * abs(predicted - actual) / (abs(actual) + abs(predicted) + 1e-8)) AS smape
   FROM all_long GROUP BY model
 )""", f"SELECT model, {rnd(['r2', 'rmse', 'mae', 'mape', 'wape', 'smape'], 5)} FROM all_measured")
-put("ridge_coefficients", NAIVE + """,
-sums AS (
-  SELECT regr_sxx(actual, last_week) + 1.0 AS a, regr_sxy(last_week, mean_month) AS b, regr_sxx(actual, mean_month) + 1.0 AS c,
-    regr_sxy(actual, last_week) AS p, regr_sxy(actual, mean_month) AS q,
-    avg(actual) AS y, avg(last_week) AS x1, avg(mean_month) AS x2 FROM naive
-),
-solved AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS k1, (q * a - p * b) / (a * c - b * b) AS k2 FROM sums)""",
-    """SELECT 'last_week' AS term, round(k1, 5) AS coefficient FROM solved
-UNION ALL SELECT 'mean_month', round(k2, 5) FROM solved
-UNION ALL SELECT 'intercept', round(y - k1 * x1 - k2 * x2, 5) FROM solved""")
 put("sample_series", NAIVE, f"""SELECT {ROW}, round(actual, 6) AS actual, round(mean_week, 6) AS predicted
 FROM (SELECT * FROM naive ORDER BY sale_date, store_id, product_id LIMIT 200)""")
-put("stacked_predictions", FACT + f""",
-complete AS (SELECT * FROM retail_fact QUALIFY row_number() OVER ({_SERIES}) > 28),
-days AS (SELECT sale_date, sum(count(*)) OVER (ORDER BY sale_date) - count(*) AS before FROM complete GROUP BY sale_date),
-cut AS (SELECT max(sale_date) AS last_day FROM days WHERE before < (SELECT floor(count(*) * 0.8) FROM complete))""",
-    f"""SELECT {DAY}, round(exp(ln(1 + least(greatest(units_sold, 0), 1000))) - 1, 6) AS actual, true AS complete
-FROM complete WHERE sale_date > (SELECT last_day FROM cut)""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators.features import CATEGORICAL
 from stockloom.operators.lookup import lookup_join
-from stockloom.operators.ordering import group_position
+from stockloom.operators.ordering import SEGMENT, by_segment, group_position, range_segments
 from stockloom.session import pin
 
 ROW_KEY = ("sale_date", "store_id", "product_id")
@@ -32,39 +32,58 @@ def label_dictionary(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Dat
     return group_position(classes, ["column"], ["label"], "index").withColumn("index", F.col("index").cast("int"))
 
 
-def target_means(df: DataFrame, target: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """Mean target of each class of each column."""
+def target_sums(df: DataFrame, target: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Sum ``s`` and count ``n`` of the target for each class of each column."""
     cells = df.select(target, F.explode(_cells(columns)).alias("cell"))
-    return cells.groupBy("cell.column", "cell.label").agg(F.avg(target).alias("target_mean"))
+    return cells.groupBy("cell.column", "cell.label").agg(F.sum(target).alias("s"), F.count(target).alias("n"))
 
 
-def with_folds(df: DataFrame, folds: int = 5) -> DataFrame:
-    """Add ``fold``, from a hash of the row's key."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*[k for k in ROW_KEY if k in df.columns]), F.lit(folds)).cast("int"))
+def smoothed_mean(s: Column, n: Column, prior: Column) -> Column:
+    """Mean of a class that has seen the prior once."""
+    return (s + prior) / (n + 1)
 
 
-def target_means_of_other_folds(df: DataFrame, target: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """For each fold, the mean target of each class over the rows of the other folds; a class of one fold only has none.
+def ordered_means(
+    df: DataFrame, target: str, prior: float, columns: Sequence[str] = CATEGORICAL, keys: Sequence[str] = ROW_KEY, suffix: str = "_mean"
+) -> DataFrame:
+    """Add, for each column, the mean target of the rows of a row's class that come before it in a shuffled order, and the prior once.
 
-    Rows that a model is trained on take these, so that no row's own target is among its features.
+    The order is that of a digest of the row's key, so it is the same on every run, and no row's own target or a later one is in its
+    features. Rows are put into ranges of the digest; sums run inside a range, and what earlier ranges hold of a class comes from a
+    table of the sums of each class in each range.
     """
-    cells = df.select(target, "fold", F.explode(_cells(columns)).alias("cell"))
-    sums = cells.groupBy("cell.column", "cell.label", "fold").agg(F.sum(target).alias("s"), F.count(target).alias("n"))
-    of_class = Window.partitionBy("column", "label")  # as many rows as folds
-    others = F.try_divide(F.sum("s").over(of_class) - F.col("s"), F.sum("n").over(of_class) - F.col("n"))
-    return sums.select("column", "label", "fold", others.alias("target_mean"))
+    order = ["_place", *keys]
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    placed = range_segments(df.drop(SEGMENT).withColumn("_place", digest), order)
+    sums = placed.select(SEGMENT, target, F.explode(_cells(columns)).alias("cell")).groupBy(SEGMENT, "cell.column", "cell.label")
+    sums = sums.agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    earlier = Window.partitionBy("column", "label").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = pin(sums.select(SEGMENT, "column", "label", F.sum("s").over(earlier).alias("_s"), F.sum("n").over(earlier).alias("_n")))
+    out = by_segment(placed)
+    inside = {}
+    for c in columns:
+        before = Window.partitionBy(SEGMENT, c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        inside |= {f"_s_{c}": F.coalesce(F.sum(target).over(before), F.lit(0)), f"_n_{c}": F.count(target).over(before)}
+    out = out.withColumns(inside)
+    for c in columns:
+        dim = carried.filter(F.col("column") == c).select(SEGMENT, F.col("label").alias("_label"), "_s", "_n")
+        out = out.withColumn("_label", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        out = lookup_join(out, dim, [SEGMENT, "_label"], keys)
+        s, n = (F.col(f"_{x}_{c}") + F.coalesce(f"_{x}", F.lit(0)) for x in ("s", "n"))
+        out = out.withColumn(c + suffix, smoothed_mean(s, n, F.lit(prior))).drop("_label", "_s", "_n", f"_s_{c}", f"_n_{c}")
+    return out.drop("_place", SEGMENT)
 
 
 def _lookup_classes(
-    df: DataFrame, classes: DataFrame, columns: Sequence[str], value: str, suffix: str, default: Column, by: Sequence[str] = ()
+    df: DataFrame, classes: DataFrame, columns: Sequence[str], value: str, suffix: str, default: Column
 ) -> DataFrame:
     classes = pin(classes)
     spread = [k for k in ROW_KEY if k in df.columns] or list(columns)
     out = df
     for c in columns:
-        dim = classes.filter(F.col("column") == c).select(*by, F.col("label").alias("_label"), F.col(value).alias("_value"))
+        dim = classes.filter(F.col("column") == c).select(F.col("label").alias("_label"), F.col(value).alias("_value"))
         out = out.withColumn("_label", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        out = lookup_join(out, dim, [*by, "_label"], spread)
+        out = lookup_join(out, dim, ["_label"], spread)
         out = out.withColumn(c + suffix, F.coalesce("_value", default)).drop("_label", "_value")
     return out
 
@@ -74,12 +93,9 @@ def encode(df: DataFrame, dictionary: DataFrame, columns: Sequence[str] = CATEGO
     return _lookup_classes(df, dictionary, columns, "index", suffix, F.lit(0))
 
 
-def with_target_means(
-    df: DataFrame, means: DataFrame, unseen: float, columns: Sequence[str] = CATEGORICAL, suffix: str = "_mean",
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Add each class's mean target under ``suffix``; ``unseen`` stands in for a class without one."""
-    return _lookup_classes(df, means, columns, "target_mean", suffix, F.lit(unseen), by)
+def with_target_means(df: DataFrame, means: DataFrame, unseen: float, columns: Sequence[str] = CATEGORICAL, suffix: str = "_mean") -> DataFrame:
+    """Add each class's ``target_mean`` under ``suffix``; ``unseen`` stands in for a class without one."""
+    return _lookup_classes(df, means, columns, "target_mean", suffix, F.lit(unseen))
 
 
 def unseen_categories(df: DataFrame, dictionary: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:

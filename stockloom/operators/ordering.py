@@ -7,9 +7,12 @@ tables of at most one row per range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.session import pin
@@ -77,31 +80,91 @@ def group_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     return placed.withColumn(name, F.col(name) + F.coalesce("start", F.lit(0)) - 1).drop("start", SEGMENT)
 
 
-def exact_quantile(df: DataFrame, column: str, q: float, name: str = "quantile") -> DataFrame:
-    """One row with the linearly interpolated quantile.
+def order_statistics(df: DataFrame, ranks: dict[str, Sequence[int]], buckets: int = 1024) -> dict[str, dict[int, float]]:
+    """Values of numeric columns at zero-based ranks of their ascending order; values are finite, nulls and NaN have no rank.
 
-    Equal values are counted before anything is ordered, and ranks are found range by range, so neither a frequent
-    value nor the number of distinct values lands on one task.
+    The interval that holds a rank is cut into buckets whose rows are counted, and the rank's bucket, shrunk to its least and greatest
+    value, is the next interval. Each pass over the rows serves all columns and ranks; no row is shuffled, sorted or written, and two or
+    three passes are enough unless values lie very unevenly. Passes and driver grow with the number of ranks alone.
     """
-    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    segmented = range_segments(counted, ["v"])
-    totals = segmented.groupBy(SEGMENT).agg(F.sum("n").alias("total"))
-    before = Window.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        SEGMENT,
-        F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"),
-        F.sum("total").over(Window.partitionBy()).alias("rows"),
-    )
-    running = F.sum("n").over(
-        Window.partitionBy(SEGMENT).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = by_segment(segmented).withColumn("upto", running).join(F.broadcast(starts), SEGMENT)
-    ranked = ranked.withColumn("upto", F.col("upto") + F.col("start")).withColumn("h", (F.col("rows") - 1) * F.lit(q))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
-
-    picked = ranked.agg(
-        at(F.floor("h")).alias("low"), at(F.ceil("h")).alias("high"), F.max(F.col("h") - F.floor("h")).alias("part")
-    )
-    return picked.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(name))
+    columns = [c for c in ranks if ranks[c]]
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    if not columns:
+        return found
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = values.agg(*[f(F.col(f"c{i}")).alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    # column -> interval -> ranks in it, counted from the interval's first row
+    open_: dict[int, dict[tuple[float, float], dict[int, int]]] = {}
+    for i, c in enumerate(columns):
+        if ends[f"lo{i}"] is not None:
+            open_[i] = {(ends[f"lo{i}"], ends[f"hi{i}"]): {r: r for r in ranks[c]}}
+    while True:
+        for i in list(open_):
+            for lo, hi in list(open_[i]):
+                if lo == hi:
+                    found[columns[i]] |= dict.fromkeys(open_[i].pop((lo, hi)), lo)
+            if not open_[i]:
+                del open_[i]
+        if not open_:
+            return found
+        cuts = {i: sorted(spans) for i, spans in open_.items()}
+        per = max(2, buckets // max(len(x) for x in cuts.values()))
+        counts = {
+            (r["col"], r["span"], r["bucket"]): r
+            for r in _bucket_counts(values, cuts, per).groupBy("col", "span", "bucket")
+            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        }
+        following: dict[int, dict[tuple[float, float], dict[int, int]]] = {i: {} for i in open_}
+        for i, spans in cuts.items():
+            for s, span in enumerate(spans):
+                before = 0
+                waiting = sorted(open_[i][span].items(), key=lambda x: x[1])
+                for b in range(per):
+                    r = counts.get((i, s, b))
+                    if r is None:
+                        continue
+                    while waiting and waiting[0][1] < before + r["n"]:
+                        rank, inside = waiting.pop(0)
+                        following[i].setdefault((r["lo"], r["hi"]), {})[rank] = inside - before
+                    before += r["n"]
+        open_ = following
+
+
+def _bucket_counts(values: DataFrame, cuts: dict[int, list[tuple[float, float]]], per: int) -> DataFrame:
+    """Rows, least and greatest value of each bucket of each interval, from every task."""
+    schema = "col int, span int, bucket int, n long, lo double, hi double"
+    asked = sorted(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, i in enumerate(asked):
+                v = batch.column(k).drop_null().to_numpy()
+                low, high = (np.array(x) for x in zip(*cuts[i], strict=True))
+                span = np.searchsorted(low, v, side="right") - 1
+                v, span = v[span >= 0], span[span >= 0]
+                inside = v <= high[span]
+                v, span = v[inside], span[inside]
+                if not len(v):
+                    continue
+                # halves first: the width of an interval may be more than the greatest double
+                share = (v / 2 - low[span] / 2) / (high[span] / 2 - low[span] / 2)
+                key = span * per + np.minimum((share * per).astype(np.int64), per - 1)
+                order = np.argsort(key, kind="stable")
+                keys, first, n = np.unique(key[order], return_index=True, return_counts=True)
+                lo, hi = np.minimum.reduceat(v[order], first), np.maximum.reduceat(v[order], first)
+                columns = [np.full(len(keys), i, np.int32), (keys // per).astype(np.int32), (keys % per).astype(np.int32), n.astype(np.int64), lo, hi]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["col", "span", "bucket", "n", "lo", "hi"])
+
+    return values.select(*[f"c{i}" for i in asked]).mapInArrow(run, schema)
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, name: str = "quantile") -> DataFrame:
+    """One row with the linearly interpolated quantile, found without ordering the rows."""
+    rows = df.select(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("v")).filter("v is not null")
+    place = (rows.count() - 1) * q
+    value = None
+    if place >= 0:
+        low, high = math.floor(place), math.ceil(place)
+        at = order_statistics(rows, {"v": [low, high]})["v"]
+        value = at[low] + (at[high] - at[low]) * (place - low)
+    return df.sparkSession.createDataFrame([(value,)], f"`{name}` double")

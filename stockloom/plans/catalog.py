@@ -14,7 +14,7 @@ from stockloom.functions import scalar
 from stockloom.functions.values import FORM_FLAGS, POLICIES, POLICY_A, POLICY_B, SALES_FLAGS, SCRIPT_FLAGS, Policy
 from stockloom.operators import (
     alerts, augment, cleanse, dashboard, demand, encode, export, features, fill, forecast, history, metrics, ordering,
-    pricing, reorder, report, series, split, stacking,
+    pricing, reorder, report, series, split, stacking, trees,
 )
 from stockloom.plans import scoring, training
 from stockloom.schemas import SALES_HEADER
@@ -165,9 +165,12 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the boosted learner with both penalties on the log target after each round, on the validation rows."""
     trained = _trained(spark, sf_dir)
-    rows = trained.validation.select(*features.FEATURES, stacking.TARGET)
-    return stacking.training_curve(spark, trained.models["boosted_deep"], rows)
+    curve = trees.learning_curve(
+        trained.validation, trained.models["boosted_deep"], "bins", training.GRID_TARGET, len(stacking.COLUMNS)
+    )
+    return rounded(curve)
 
 
 # --- sinks and exports ---
@@ -736,20 +739,47 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trained models ---
 
 
+@query
+def ordered_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class means of rows that come earlier in a shuffled order, for the log target on its grid."""
+    rows = retail_fact(spark, sf_dir)
+    rows = rows.withColumn("grid_target", trees.on_grid(features.target_log1p(F.col("units_sold"))))
+    out = encode.ordered_means(rows, "grid_target", float(trees.GRID))
+    return rounded(out.select(*ROW, *[(F.col(f"{c}_mean") / trees.GRID).alias(f"{c}_mean") for c in features.CATEGORICAL]))
+
+
+@query
+def bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the bins that learners would cut some columns of the fact into."""
+    columns = ("inventory_level", "price", "competitor_price", "units_sold")
+    edges = training.bin_edges(retail_fact(spark, sf_dir), columns, 64)
+    rows = [(c, i, v) for c, found in edges.items() for i, v in enumerate(found)]
+    return rounded(spark.createDataFrame(rows, "feature string, bin int, edge double"), 9)
+
+
+@query
+def model_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trained trees."""
+    return rounded(training.nodes(_trained(spark, sf_dir), spark).drop("gain"))
+
+
 @query
 def stacked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validation rows of trained models, and whether every model and the hybrid has an estimate for them."""
-    rows = _trained(spark, sf_dir).validation
-    estimates = [F.col(m) for m in (*stacking.MODELS, "hybrid")]
-    complete = F.array_size(F.filter(F.array(*estimates), lambda x: x.isNotNull() & ~F.isnan(x))) == len(estimates)
-    return rounded(rows.select("sale_date", "actual", complete.alias("complete")))
+    """The validation rows with the estimate of every trained model and of the hybrid."""
+    return rounded(_trained(spark, sf_dir).validation.select(*ROW, "actual", *stacking.MODELS, "hybrid"), 4)
+
+
+@query
+def stacking_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge over the four trained models."""
+    return rounded(stacking.ridge_coefficients(_trained(spark, sf_dir).ridge, stacking.MODELS), 5)
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed predictions and their mean, weighted by R2."""
     rows = pin(_naive_predictions(spark, sf_dir))
-    weights = metrics.ensemble_weights(metrics.model_metrics(rows, list(NAIVE_MODELS))).collect()
-    return stacking.weighted_demand(rows, {r["model"]: r["weight"] for r in weights})
+    weights = metrics.ensemble_weights(metrics.model_metrics(rows, list(NAIVE_MODELS)))
+    return stacking.weighted_by(rows, weights, NAIVE_MODELS)
 
 
 @query
@@ -759,10 +789,8 @@ def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge over two of the fixed predictions, which the normal equations of two unknowns can be checked against."""
-    inputs = ("last_week", "mean_month")
-    model = stacking.fit_ridge(_naive_predictions(spark, sf_dir), inputs, "actual", 1.0)
-    return rounded(stacking.ridge_coefficients(spark, model, inputs), 5)
+    """Ridge over the four fixed predictions."""
+    return rounded(stacking.ridge_coefficients(stacking.ridge(_naive_predictions(spark, sf_dir), tuple(NAIVE_MODELS), "actual", 1.0), tuple(NAIVE_MODELS)), 5)
 
 
 @query
@@ -773,7 +801,9 @@ def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stacking.feature_importance(spark, _trained(spark, sf_dir).models["random_forest"])
+    """The 15 features of the forest that gain most."""
+    shares = trees.importance(training.nodes(_trained(spark, sf_dir), spark).filter("model = 'random_forest'")).drop("model")
+    return rounded(shares.orderBy(F.col("importance").desc(), "feature").limit(15))
 
 
 @query
@@ -786,4 +816,4 @@ def sample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def demand_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = training.score_latest(retail_fact(spark, sf_dir), _trained(spark, sf_dir), AS_OF)
-    return scored.select(*ROW, "demand", "total_30day", "order_quantity", "urgency", "health_score")
+    return rounded(scored.select(*ROW, "demand", "total_30day", "order_quantity", "urgency", "health_score"), 3)

@@ -3,33 +3,36 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions.values import POLICY_B
-from stockloom.operators import encode, features, metrics, series, split, stacking
+from stockloom.operators import encode, features, metrics, series, split, stacking, trees
 from stockloom.operators.fill import fill_nulls
-from stockloom.operators.ordering import SEGMENT, range_segments
+from stockloom.operators.ordering import SEGMENT, order_statistics, range_segments
 from stockloom.operators.series import KEYS
-from stockloom.operators.stacking import MODELS, TARGET, TrainConfig
+from stockloom.operators.stacking import COLUMNS, MODELS, TARGET, TrainConfig
 from stockloom.plans.scoring import analyse
 from stockloom.session import pin
 from stockloom.sources import sinks
 from stockloom.sources.files import read_sales_csv
 
 
+GRID_TARGET = "grid_target"
+
+
 @dataclass
 class Trained:
-    models: dict[str, PipelineModel]
-    ridge: LinearRegressionModel
+    models: dict[str, trees.Ensemble]
+    edges: dict[str, list[float]]
+    ridge: DataFrame
     dictionary: DataFrame
     means: DataFrame
-    overall_mean: float
-    validation: DataFrame
+    prior: int
+    validation: DataFrame | None
     metrics: DataFrame
     config: TrainConfig
 
@@ -59,58 +62,87 @@ def _split(df: DataFrame, share: float, config: TrainConfig, tie: tuple[str, ...
     return split.date_split(df, share, name)
 
 
+def _steady(df: DataFrame) -> DataFrame:
+    """Deviations in four digits: their last bits depend on the order in which they are summed up."""
+    return df.withColumns({c: F.round(c, 4) for c in df.columns if "_std_" in c})
+
+
+def bin_edges(df: DataFrame, columns: tuple[str, ...], bins: int) -> dict[str, list[float]]:
+    """For each column its different values at ``bins - 1`` evenly spaced ranks."""
+    n = df.count()
+    ranks = sorted({n * i // bins for i in range(1, bins)}) if n else []
+    return {c: sorted(set(found.values())) for c, found in order_statistics(df, dict.fromkeys(columns, ranks)).items()}
+
+
 def train(sales: DataFrame, config: TrainConfig, tie: tuple[str, ...] = ()) -> Trained:
     """Features, split, four base models, their metrics, and the ridge on top.
 
-    The encoded training rows are pinned once and read by all fits; their class means come from other rows than their own. Class
-    indexes and class means are tables, not lists held by the driver.
+    The encoded training rows are pinned once and binned once; all models grow on them side by side. Class means of a training row
+    come from rows before it in a shuffled order. Class indexes and class means are tables, not lists held by the driver.
     """
-    table = pin(_split(pin(feature_table(sales, config, tie)), config.train_share, config, tie, "part"))
+    table = pin(_steady(_split(pin(feature_table(sales, config, tie)), config.train_share, config, tie, "part")))
     dictionary = pin(encode.label_dictionary(table))
+    table = table.withColumn(GRID_TARGET, trees.on_grid(F.col(TARGET)))
     head = table.filter(F.col("part") == "head")
-    means = pin(encode.target_means(head, TARGET))
-    overall = head.agg(F.avg(TARGET)).first()[0]
-    folded = encode.with_folds(head)
-    others = encode.target_means_of_other_folds(folded, TARGET)
-    fit_rows = encode.with_target_means(folded, others, overall, by=("fold",)).drop("fold")
-    fit_rows = pin(encode.encode(fit_rows, dictionary))
-    models = {name: p.fit(fit_rows) for name, p in stacking.base_pipelines(config).items()}
-
-    tail = encode.encode(encode.with_target_means(table.filter(F.col("part") == "tail"), means, overall), dictionary)
-    tail = stacking.stacked_predictions(tail, models)
+    first = head.agg(F.sum(GRID_TARGET), F.count(GRID_TARGET)).first()
+    prior = math.floor(first[0] / first[1] + 0.5) if first[1] else 0
+    sums = encode.target_sums(head, GRID_TARGET)
+    mean = encode.smoothed_mean(F.col("s"), F.col("n"), F.lit(float(prior)))
+    means = pin(sums.select("column", "label", mean.alias("target_mean")))
+    keys = (*encode.ROW_KEY, *tie)
+    fit_rows = encode.ordered_means(head.withColumn("hash", trees.row_hash(keys)), GRID_TARGET, float(prior), keys=keys)
+    fit_rows = pin(encode.encode(fit_rows, dictionary).select("hash", F.col(GRID_TARGET).alias("target"), *COLUMNS))
+    edges = bin_edges(fit_rows, COLUMNS, config.bins)
+    binned = fit_rows.select("hash", "target", trees.binned(COLUMNS, edges).alias("bins"))
+    fitted = trees.fit(binned, stacking.base_learners(config), COLUMNS, config.bins)
+    models = {e.learner.name: e for e in fitted}
+
+    tail = encode.with_target_means(table.filter(F.col("part") == "tail"), means, float(prior))
+    tail = tail.withColumns({f"_{c}": F.col(c) for c in features.CATEGORICAL})
+    tail = _restored(_estimates(encode.encode(tail, dictionary), models, edges))
     tail = tail.withColumn("actual", features.from_log1p(F.col(TARGET)))
     tail = pin(_split(pin(tail), config.meta_share, config, tie, "meta_part"))
-    ridge = stacking.fit_ridge(tail.filter(F.col("meta_part") == "head"), MODELS, "actual", config.ridge_alpha)
-    validation = ridge.transform(stacking.meta_vector(tail, MODELS)).drop("meta", SEGMENT)
+    ridge = pin(stacking.ridge(tail.filter(F.col("meta_part") == "head"), MODELS, "actual", config.ridge_alpha))
+    validation = stacking.with_ridge(tail, ridge, MODELS).drop(SEGMENT)
     table_of_metrics = pin(metrics.model_metrics(validation, (*MODELS, "hybrid")))
-    return Trained(models, ridge, dictionary, means, overall, validation, table_of_metrics, config)
+    return Trained(models, edges, ridge, dictionary, means, prior, validation, table_of_metrics, config)
 
 
-def save(trained: Trained, path: str) -> None:
+def _estimates(df: DataFrame, models: dict[str, trees.Ensemble], edges: dict[str, list[float]]) -> DataFrame:
+    """Each model's prediction in units, beside the ``bins`` it is made from."""
+    out = df.withColumn("bins", trees.binned(COLUMNS, edges))
+    out = trees.with_predictions(out, list(models.values()), "bins", len(COLUMNS))
+    return out.withColumns({name: features.from_log1p(F.col(name)) for name in models})
+
+
+def nodes(trained: Trained, spark: SparkSession) -> DataFrame:
+    """All trees as a table of nodes."""
+    return trees.node_table(spark, list(trained.models.values()), trained.edges)
+
+
+def save(trained: Trained, path: str, spark: SparkSession) -> None:
     """Models, class tables and metrics under one folder."""
-    for name, model in trained.models.items():
-        model.write().overwrite().save(f"{path}/models/{name}")
-    trained.ridge.write().overwrite().save(f"{path}/models/hybrid")
+    nodes(trained, spark).write.mode("overwrite").parquet(f"{path}/nodes")
+    trained.ridge.write.mode("overwrite").parquet(f"{path}/ridge")
     trained.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
-    trained.means.withColumn("overall_mean", F.lit(trained.overall_mean)).write.mode("overwrite").parquet(f"{path}/means")
+    trained.means.write.mode("overwrite").parquet(f"{path}/means")
     trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     weights = metrics.ensemble_weights(trained.metrics.filter(F.col("model") != "hybrid"))
     sinks.write_metrics_json(trained.metrics, f"{path}/metrics_json", weights)
-    settings = json.dumps({"features": list(features.FEATURES), "models": list(MODELS), "config": asdict(trained.config)})
-    trained.metrics.sparkSession.createDataFrame([(settings,)], "value string").write.mode("overwrite").text(f"{path}/settings")
+    settings = json.dumps({
+        "features": list(features.FEATURES), "models": list(MODELS), "config": asdict(trained.config), "edges": trained.edges,
+        "prior": trained.prior, "base": {name: e.base for name, e in trained.models.items()},
+    })
+    spark.createDataFrame([(settings,)], "value string").write.mode("overwrite").text(f"{path}/settings")
 
 
 def load(spark: SparkSession, path: str) -> Trained:
-    means = spark.read.parquet(f"{path}/means")
+    settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
+    config = TrainConfig(**settings["config"])
+    models = trees.from_nodes(spark.read.parquet(f"{path}/nodes"), stacking.base_learners(config), COLUMNS, settings["base"], settings["edges"])
     return Trained(
-        {name: PipelineModel.load(f"{path}/models/{name}") for name in MODELS},
-        LinearRegressionModel.load(f"{path}/models/hybrid"),
-        spark.read.parquet(f"{path}/dictionary"),
-        means.drop("overall_mean"),
-        means.agg(F.max("overall_mean")).first()[0],
-        None,
-        spark.read.parquet(f"{path}/metrics"),
-        TrainConfig(**json.loads(spark.read.text(f"{path}/settings").first()["value"])["config"]),
+        {e.learner.name: e for e in models}, settings["edges"], spark.read.parquet(f"{path}/ridge"), spark.read.parquet(f"{path}/dictionary"),
+        spark.read.parquet(f"{path}/means"), settings["prior"], None, spark.read.parquet(f"{path}/metrics"), config,
     )
 
 
@@ -120,16 +152,18 @@ def predict(requests: DataFrame, trained: Trained, combine: str = "ridge") -> Da
         requests.withColumns({f"_{c}": F.col(c) for c in features.CATEGORICAL}),
         keep=("sale_date", "units_sold", *[f"_{c}" for c in features.CATEGORICAL]),
     ).fillna(0.0)
-    rows = encode.with_target_means(rows, trained.means, trained.overall_mean)
-    rows = encode.encode(rows, trained.dictionary)
-    scored = stacking.stacked_predictions(rows, trained.models)
+    rows = encode.with_target_means(_steady(rows), trained.means, float(trained.prior))
+    scored = _estimates(encode.encode(rows, trained.dictionary), trained.models, trained.edges).drop("bins")
     if combine == "ridge":
-        scored = trained.ridge.transform(stacking.meta_vector(scored, MODELS)).drop("meta")
+        scored = stacking.with_ridge(scored, trained.ridge, MODELS)
     else:
-        weights = metrics.ensemble_weights(trained.metrics.filter(F.col("model") != "hybrid")).collect()
-        scored = stacking.weighted_demand(scored, {r["model"]: r["weight"] for r in weights})
-    restored = {c: F.col(f"_{c}") for c in features.CATEGORICAL}
-    return scored.withColumns(restored).drop(*[f"_{c}" for c in features.CATEGORICAL]).withColumn("demand", F.col("hybrid"))
+        scored = stacking.weighted_by(scored, metrics.ensemble_weights(trained.metrics.filter(F.col("model") != "hybrid")), MODELS)
+    return _restored(scored).withColumn("demand", F.col("hybrid"))
+
+
+def _restored(df: DataFrame) -> DataFrame:
+    """Classes in place of their indexes."""
+    return df.withColumns({c: F.col(f"_{c}") for c in features.CATEGORICAL}).drop(*[f"_{c}" for c in features.CATEGORICAL])
 
 
 def score_latest(sales: DataFrame, trained: Trained, as_of: str, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -151,7 +185,7 @@ def score_latest(sales: DataFrame, trained: Trained, as_of: str, tie: tuple[str,
 def train_job(spark: SparkSession, sales_path: str, out: str, config: TrainConfig) -> Trained:
     """Train on a sales file and save everything that scoring needs."""
     trained = train(read_sales_csv(spark, sales_path), config)
-    save(trained, out)
+    save(trained, out, spark)
     return trained
 
 

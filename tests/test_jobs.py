@@ -5,12 +5,11 @@ import datetime
 from pathlib import Path
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import rows_of
-from checks.oracles import ORACLES
+from checks.models import ORACLES
 from stockloom.functions.values import POLICY_A
 from stockloom.operators import dashboard, export, history, report, stacking
 from stockloom.plans import scoring
@@ -22,18 +21,6 @@ from stockloom.streaming import scoring as stream
 DATA = "/root/testdata/sf0.001"
 
 
-def test_ridge_matches_closed_form(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(50, 20, (200, 4))
-    y = x @ np.array([0.4, 0.1, -0.2, 0.6]) + 7 + rng.normal(0, 5, 200)
-    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], [*stacking.MODELS, "actual"])
-    model = stacking.fit_ridge(df, stacking.MODELS, "actual", 1.0)
-    xc, yc = x - x.mean(0), y - y.mean()
-    want = np.linalg.solve(xc.T @ xc + np.eye(4), xc.T @ yc)
-    np.testing.assert_allclose(model.coefficients.toArray(), want, atol=1e-9)
-    assert abs(model.intercept - (y.mean() - x.mean(0) @ want)) < 1e-6
-
-
 def test_weighted_demand_without_weights_is_the_mean(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 6.0)], list(stacking.MODELS))
     assert stacking.weighted_demand(df, {}).first().hybrid == 3.0
@@ -138,7 +125,8 @@ def duck():
 
 @pytest.mark.parametrize("name", [
     "bulk_normalized", "validated", "augmented_sales", "filled_features", "past_rolling_features", "train_split", "alerts_a",
-    "full_report_b", "error_report", "dashboard_counts", "residuals", "encoded_scoring", "top_products",
+    "full_report_b", "error_report", "dashboard_counts", "residuals", "encoded_scoring", "top_products", "ordered_means", "bin_edges",
+    "ridge_coefficients", "hybrid_weighted",
 ])
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)

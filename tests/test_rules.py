@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions.values import POLICY_A, POLICY_B
-from stockloom.operators import encode, features, history, ordering, series, stacking
+from stockloom.operators import features, history, ordering, series, stacking
 from stockloom.plans import scoring, training
 from stockloom.sources import files, sinks
 from stockloom.streaming import alerts as alert_stream
@@ -75,16 +75,6 @@ def test_scoring_features_are_those_of_training(sales):
     assert sorted(map(str, both.collect())) == sorted(map(str, want.select(columns).collect()))
 
 
-def test_other_folds(spark):
-    rows = [(datetime.date(2024, 1, 1 + i), "S", "P", "a" if i % 2 else "b", float(i)) for i in range(20)]
-    df = encode.with_folds(spark.createDataFrame(rows, "sale_date date, store_id string, product_id string, category string, y double"), 3)
-    got = {(r.label, r.fold): r.target_mean for r in encode.target_means_of_other_folds(df, "y", ["category"]).collect()}
-    table = df.collect()
-    for (label, fold), mean in got.items():
-        others = [r.y for r in table if r.category == label and r.fold != fold]
-        assert mean == pytest.approx(sum(others) / len(others)) if others else mean is None
-
-
 def test_models_without_weight_are_averaged(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 6.0)], list(stacking.MODELS))
     assert stacking.weighted_demand(df, dict.fromkeys(stacking.MODELS)).first().hybrid == 3.0
@@ -129,10 +119,14 @@ def test_train_save_load_score(spark, sales, tmp_path):
         "promotion": F.lit("0"),
     })
     sinks.write_sales_csv(table, str(tmp_path / "sales"))
-    config = stacking.TrainConfig(2, 3, 2, 2, 2, 32, split="position", fill=True)
+    config = stacking.TrainConfig(
+        forest_trees=2, forest_depth=3, deep_rounds=2, deep_depth=2, wide_rounds=2, wide_leaves=4, encoded_rounds=2, encoded_depth=2, bins=16,
+        split="position", fill=True,
+    )
     trained = training.train_job(spark, str(tmp_path / "sales"), str(tmp_path / "model"), config)
     loaded = training.load(spark, str(tmp_path / "model"))
     assert loaded.config == config
+    assert sorted(map(str, training.nodes(loaded, spark).collect())) == sorted(map(str, training.nodes(trained, spark).collect()))
     training.score_job(spark, str(tmp_path / "sales"), str(tmp_path / "model"), str(tmp_path / "scores"), "2024-01-01")
     got = spark.read.parquet(str(tmp_path / "scores"))
     assert got.count() == table.select(*series.KEYS).distinct().count() and got.filter("demand is null").count() == 0
