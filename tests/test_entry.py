@@ -10,7 +10,7 @@ BLOCK = """
 import sys
 sys.modules[{name!r}] = None
 import __spark_entry__ as entry
-print(len(entry.queries()), len(entry.oracle_sql()), any(k.startswith("op") for k in entry.queries()))
+print(len(entry.queries()), len(entry.oracle_sql()), any(k.startswith("op1_") for k in entry.queries()))
 """
 
 
