@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.shared import WORD, by_batch
+from stockloom.llm.shared import WORD, by_batch, stored
 
 # Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -96,15 +96,16 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most about ``most`` labelled documents, chosen by a hash of their id, in a fixed order.
+    """Features and labels of at most about ``most`` different labelled documents, in a fixed order.
 
+    Rows equal in id and text count once. They are chosen by a hash of both, so that one id with many texts is sampled like many ids.
     A fitted model reads no more than that; the rows of the sample are all that reaches the driver.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
-    known = stats.join(known, "doc_id")
+    known = stored(stats.join(known, "doc_id").dropDuplicates(["doc_id", "text_key"]), "labelled")
     n = known.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
+    share = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(1_000_000))
     known = known.filter(share < max(1, int(1_000_000 * min(1.0, most / max(n, 1)))))
     table = known.select(*(F.col(c).cast("double") for c in FEATURES), F.col("label").cast("double"), "doc_id").toPandas()
     table = table.sort_values(["doc_id", *FEATURES], kind="stable")

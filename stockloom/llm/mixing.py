@@ -7,7 +7,8 @@ in exact decimals, so reruns agree to the last bit. Rates become whole copies by
 the shortest, so a source ends within about half its shortest documents of its target.
 
 A null text has size 0, a null source is a source of its own and comes last. Repeated rows of one document id, source and size
-all get the same number of copies. Documents of size 0 are taken once and count nothing; an empty table gives no rows. Columns besides
+all get the same number of copies. Documents of size 0 are taken once and count nothing; a long text counts by its words, which are
+counted in its row; an empty table gives no rows. Columns besides
 ``doc_id``, ``text`` and ``source`` are ignored.
 """
 
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.shared import WORD, arrow_schema, stored
+from stockloom.llm.shared import WORD, arrow_schema, packed, stored
 from stockloom.operators.ordering import row_position
 
 SEGMENT_ROWS = 2_000
+LOT = 1 << 16
 EXACT = "decimal(38,6)"
 CLOSE = 1e-9
 
@@ -33,8 +35,8 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"))
 
 
-def word_count() -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: Column | str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -151,9 +153,14 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """One row for every document: ``doc_id, source, size, source_size, target, copies, taken``."""
-    decided = copies(docs, weights, share, most).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return decided.select(
+    """One row for every document: ``doc_id, source, size, source_size, target, copies, taken``.
+
+    Equal rows come back as as many rows, dealt out in lots before they are unfolded, so no task writes all of them.
+    """
+    decided = copies(docs, weights, share, most)
+    lots = decided.withColumn("lot", F.explode(F.sequence(F.lit(1), F.ceil(F.col("rows") / LOT)))).repartition("doc_id", "size", "lot")
+    inside = F.least(F.lit(LOT).cast("long"), F.col("rows") - (F.col("lot") - 1) * LOT)
+    return lots.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
@@ -166,14 +173,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
 
     def key(doc_id: Column, source: Column, size: Column) -> dict[str, Column]:
         return {
-            "_mix_unnamed": doc_id.isNull(), "_mix_id": F.coalesce(doc_id, F.lit(0)),
-            "_mix_nowhere": source.isNull(), "_mix_source": F.coalesce(source, F.lit("")), "_mix_size": size,
+            "unnamed": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "nowhere": source.isNull(), "from": F.coalesce(source, F.lit("")),
+            "size": size,
         }
 
     taken = copies(docs, weights, share, most).filter("copies > 0")
-    taken = taken.select(
-        *(c.alias(n) for n, c in key(F.col("doc_id"), F.col("source"), F.col("size")).items()), F.col("copies").cast("int").alias("_mix_copies")
-    )
-    keyed = docs.withColumns(key(F.col("doc_id").cast("long"), F.col("source"), word_count()))
-    joined = keyed.join(taken, [c for c in taken.columns if c != "_mix_copies"])
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    taken = taken.select(*(c.alias(n) for n, c in key(F.col("doc_id"), F.col("source"), F.col("size")).items()), F.col("copies").cast("int"))
+    row = F.col("row")
+    keyed = packed(docs).withColumns(key(row["doc_id"].cast("long"), row["source"], word_count(row["text"])))
+    joined = keyed.join(taken, [c for c in taken.columns if c != "copies"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

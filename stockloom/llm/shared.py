@@ -29,6 +29,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one, ``row``, so that a helper column beside it can have any name; ``select("row.*")`` unpacks them."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all fields of ``row``; those that Spark has no hash for count by their JSON text."""
+    fields = df.schema["row"].dataType.fields
+    values = [F.col("row")[f.name] for f in fields]
+    return F.xxhash64(*[F.to_json(F.struct(v)) if "map<" in f.dataType.simpleString() else v for f, v in zip(fields, values, strict=True)])
+
+
 def by_batch(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``each`` (columns as lists in, columns as lists out) to slices of about four million characters."""
     names = df.columns
@@ -39,7 +55,8 @@ def by_batch(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]],
             out = each({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    # places, not names: those may hold dots
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:

@@ -6,7 +6,7 @@ bits that no bucket can hold more than 2**16 fingerprints at radius 2. Only dist
 number of its documents gone, so copies cost nothing.
 
 A null or empty text, or one without words, has fingerprint zero and is linked like any other; equal texts share a component;
-a component of documents without ids has a null id; an empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
+a component of documents without ids has a null id; a long text is read whole, its hashes counted in rounds; an empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.components import component_roots
-from stockloom.llm.shared import WORD, arrow_schema, by_batch, stored
+from stockloom.llm.shared import WORD, arrow_schema, by_batch, packed, row_hash, stored
 
 BITS = 64
 HOT_BUCKET = 4096
@@ -274,16 +274,20 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42
     """One row of ``docs`` for each component, with its own columns: the one that names it.
 
     The join and the choice among repeated rows share their key, and so one shuffle of the texts; for that a null id is told by a
-    flag, as a null-safe comparison would hide the key.
+    flag, as a null-safe comparison would hide the key. Of rows equal in id and text the one with the smallest hash of all its columns
+    stays, so that a repeated run keeps the same one. Columns may have any name.
     """
 
     def key(doc_id: Column, text_key: Column) -> dict[str, Column]:
         doc_id = doc_id.cast("long")
-        return {"_kept_null": doc_id.isNull(), "_kept_id": F.coalesce(doc_id, F.lit(0)), "_kept_key": text_key}
-
-    names = ["_kept_null", "_kept_id", "_kept_key"]
-    kept = near_duplicates(docs, words, radius, seed).withColumns(key(F.col("component_id"), F.col("component_key")))
-    keyed = docs.withColumns(key(F.col("doc_id"), F.xxhash64("text")))
-    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
-    chosen = keyed.join(kept.select(*names).distinct(), names, "left_semi").withColumn("_kept_row", first)
-    return chosen.filter("_kept_row = 1").select(*docs.columns)
+        return {"unnamed": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "key": text_key}
+
+    names = ["unnamed", "id", "key"]
+    kept = near_duplicates(docs, words, radius, seed).select(
+        *[c.alias(n) for n, c in key(F.col("component_id"), F.col("component_key")).items()]
+    )
+    rows = packed(docs)
+    keyed = rows.withColumns(key(F.col("row")["doc_id"], F.xxhash64(F.col("row")["text"])))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(row_hash(rows)))
+    chosen = keyed.join(kept.distinct(), names, "left_semi").withColumn("place", first)
+    return chosen.filter("place = 1").select("row.*")
