@@ -1,20 +1,24 @@
 """Secret scans: known patterns, and strings in sensitive places that zstandard cannot compress.
 
-A candidate is a long string of letters, digits and a few marks that a sensitive word precedes closely, on its line or those before,
-or that stands in an open PEM block. Words begin and end at case changes too (``secretKey``), may be joined (``accesskey``) and in the
-plural. A word that ends its line with no mark between it and the string is a heading, not a name. The novelty of a candidate is the
-number of bytes it adds when it is compressed between the text around it, by a compressor primed with a dictionary of identifiers,
-for each of its characters: names made of known words add few, random strings about one. Candidates above the threshold that touch
-no known pattern are reported as ``novel``.
-
-Null and empty texts have no spans; each row stands for itself, an empty table gives no rows. Spans count code points, the end is
-exclusive; spans of one start are in the order of :data:`KINDS`. Columns besides ``doc_id`` and ``text`` are ignored.
+A candidate is a long string without blanks, a shorter one that is assigned to a name, the password of a URL, or what follows a known
+token prefix. Its novelty is the number of bytes it adds when it is compressed between the text around it, by a compressor primed with
+identifiers: a fixed list, and the commonest words of the corpus that names are made of. Strings made of known words add little for
+each character, random ones about one byte. Its context is a sum of what is seen around it: a sensitive name before it, the nearer the
+more (names begin and end at case changes, may be joined and in the plural), an assignment, quotes, an open PEM block, a URL, a prefix,
+and kinds of characters. Candidates whose novelty and context together reach a threshold, and that touch no known pattern, are reported
+as ``novel``. A name that ends its line with no mark between it and the string is a heading, not a name.
+
+Null and empty texts have no spans; each row stands for itself, an empty table gives no rows; long texts are scanned whole. Spans count
+code points, the end is exclusive; spans of one start are in the order of :data:`KINDS`. Columns besides ``doc_id`` and ``text`` are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Sequence
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -63,17 +67,35 @@ wrapper write xml yaml zone = : ( ) { } [ ] " ' , ; get_ set_ is_ has_ _id _key
 access_token refresh_token api_key private_key public_key user_name password= token= secret= key= Bearer Basic Authorization:
 """
 
-THRESHOLD = 0.62
-BEFORE, AFTER, NEAR, LEAST = 256, 128, 64, 16
+# Public prefixes of access tokens.
+PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "sk-", "xoxb-", "xoxp-", "xoxa-", "AIza", "ya29.", "npm_", "SG.", "eyJ")
+
+#: Novelty and context together; novelty alone, of a short string, of letters joined like a name, that a report needs.
+THRESHOLD, NOVEL, NOVEL_SHORT, NOVEL_NAME = 0.95, 0.5, 0.4, 0.75
+#: What each sight of a context adds; a name counts less the further away it stands.
+NAMED, FAR_NAMED, ASSIGNED, QUOTED, CERTAIN, KIND = 0.35, 0.1, 0.15, 0.05, 0.5, 0.04
+BEFORE, AFTER, NEAR, LEAST, SHORT = 256, 128, 256, 16, 8
+#: Words of the corpus in the compressor's dictionary.
+CORPUS_WORDS = 3000
 
 _assign = re.compile(ASSIGN).finditer
 _access = re.compile(ACCESS).finditer
 _hex = re.compile(HEX).finditer
-_candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}").finditer
+_WIDE = r"A-Za-z0-9+/_=.!@#$%^&*~?-"
+_candidate = re.compile(rf"(?<![{_WIDE}])[{_WIDE}]{{{LEAST},}}").finditer
+_assigned = re.compile(rf"""(?:[:=]|=>)[\x20\t]*["'`]?([{_WIDE}]{{{SHORT},}})""").finditer
+_password = re.compile(rf"://[^\s/:@]*:([^\s/@]{{{SHORT},}})@").finditer
+_prefixed = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9._-]{{{LEAST},}}").finditer
 _value = re.compile("(?<==)[^=]").finditer  # what follows a name in the same string
+# addresses of mail and machines are no secrets
+_address = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+\W*|\d{1,3}(?:\.\d{1,3}){3}\W*").fullmatch
+_joined = re.compile(r"[A-Za-z]+(?:[_./-]+[A-Za-z]*)+|(?:[A-Z]?[a-z]{2,}){2,}").fullmatch
+_word = re.compile(r"[A-Z]?[a-z]{2,}").findall
 _camel = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 _name = rf"(?:(?<![A-Za-z])|{_camel})(?ai:(?:{'|'.join(SENSITIVE)})+(?:e?s)?)(?:(?![A-Za-z])|{_camel})"
 _sensitive = re.compile(rf"{_name}(?![^\S\n]*\n\s*\Z)").search
+_names = re.compile(rf"{_name}(?![^\S\n]*\n\s*\Z)").finditer
+_marker = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----").sub
 _pem = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----").finditer
 #: What a text with an assignment contains in lower case.
 WORDS = ("passw", "secret", "token", "api")
@@ -96,7 +118,8 @@ def known_spans(text: str) -> list[Span]:
 class Novelty:
     """Marginal compressed bytes of a string between its surroundings."""
 
-    def __init__(self, dictionary: str = IDENTIFIERS, level: int = 12):
+    def __init__(self, words: Sequence[str] = (), dictionary: str = IDENTIFIERS, level: int = 19):
+        dictionary = " ".join([*words, dictionary]).lower()
         data = zstandard.ZstdCompressionDict(" ".join(dictionary.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(
             level, source_size=4096, write_content_size=False, write_checksum=False, write_dict_id=False
@@ -104,12 +127,17 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
     def size(self, text: str) -> int:
-        return len(self.compressor.compress(text.encode("utf-8", "surrogatepass")))
+        return len(self.compressor.compress(text.lower().encode("utf-8", "surrogatepass")))
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Added bytes for each character of ``text[start:end]``."""
-        before, after = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
-        return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
+        """Added bytes for each character of ``text[start:end]``, written behind the text that surrounds it.
+
+        Behind it, because a string inserted into a run of matches can also save bytes; without case, so that words are known in any.
+        A few bytes more can change how a block is stored, so the middle one of three surroundings counts.
+        """
+        before, after, string = text[max(0, start - BEFORE) : start], text[end : end + AFTER], text[start:end]
+        added = sorted(self.size(around + string) - self.size(around) for around in (before + after + "\n", before + "\n", after + "\n"))
+        return added[1] / (end - start)
 
 
 def pem_blocks(text: str) -> list[tuple[int, int]]:
@@ -122,18 +150,69 @@ def pem_blocks(text: str) -> list[tuple[int, int]]:
     return blocks
 
 
+def candidates(text: str) -> dict[tuple[int, int], bool]:
+    """Spans that may be a secret, and whether their place alone says so."""
+    found: dict[tuple[int, int], bool] = {}
+
+    def add(start: int, end: int, certain: bool = False) -> None:
+        while end > start and text[end - 1] in ".!?":
+            end -= 1
+        if end - start >= SHORT:
+            found[start, end] = found.get((start, end), False) or certain
+
+    for m in _candidate(text):
+        add(*m.span())
+        for i in _value(m.group()):
+            if m.end() - m.start() - i.start() >= SHORT:
+                add(m.start() + i.start(), m.end())
+    for m in _assigned(text):
+        add(*m.span(1))
+    if "://" in text:
+        for m in _password(text):
+            add(*m.span(1), True)
+    for m in _prefixed(text):
+        add(*m.span(), True)
+    return found
+
+
+def context(text: str, start: int, end: int) -> float:
+    """What the surroundings of a string add to its score."""
+    before = _marker(lambda m: " " * len(m[0]), text[max(0, start - NEAR) : start])
+    out, named, straight = 0.0, None, before.rstrip(" \t\"'`")
+    for m in _names(before):
+        named = m
+    assigned = straight.endswith((":", "=", "=>")) and not straight.endswith(("://", "=="))
+    if named:
+        out += NAMED - (NAMED - FAR_NAMED) * max(0, len(before) - named.end() - 16) / NEAR
+        out += ASSIGNED if assigned else 0.0
+    if before[-1:] in ("'", '"', "`") and text[end : end + 1] == before[-1:]:
+        out += QUOTED
+    string = text[start:end]
+    kinds = sum(any(f(c) for c in string) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return out + KIND * kinds
+
+
 def novel_spans(text: str, known: list[Span], novelty: Novelty) -> list[Span]:
-    spans = []
+    spans: list[Span] = []
     blocks = pem_blocks(text)
-    for m in _candidate(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, _, b in known):
+    taken = [(a, b) for a, _, b in known]
+    for (start, end), certain in sorted(candidates(text).items(), key=lambda c: (c[0][0], -c[0][1])):
+        if any(a < end and start < b for a, b in taken):
+            continue
+        certain = certain or any(a <= start < b for a, b in blocks)
+        seen = context(text, start, end) + (CERTAIN if certain else 0.0)
+        if seen < ASSIGNED + KIND or end - start < SHORT:
+            continue  # no name, block, URL or prefix
+        string = text[start:end]
+        if not certain and (_address(string) or string.startswith("//") and text[start - 1 : start] == ":"):
             continue
-        for at in (start, *(start + i.start() for i in _value(m.group()))):
-            placed = _sensitive(text[max(0, at - NEAR) : at]) or any(a <= at < b for a, b in blocks)
-            if end - at >= LEAST and placed and novelty.of(text, at, end) >= THRESHOLD:
-                spans.append((at, 3, end))
-                break
+        if not certain and end - start < LEAST and (seen < NAMED or string.isdigit() or _joined(string) or string in (string.lower(), string.upper(), string.title()) and string.isalpha()):
+            continue
+        new = novelty.of(text, start, end)
+        least = NOVEL_NAME if _joined(string) else NOVEL if end - start >= LEAST else NOVEL_SHORT
+        if new >= least and new + seen >= THRESHOLD:
+            spans.append((start, 3, end))
+            taken.append((start, end))
     return spans
 
 
@@ -147,12 +226,32 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """The commonest words that names and prose of the corpus are made of, the commonest last, where a match costs least.
+
+    All texts are counted; a word counts once a text, and only the list reaches the driver. Words are letters alone, so a secret that
+    is copied often cannot make itself known.
+    """
+
+    def each(rows: dict[str, list]) -> dict[str, list]:
+        counts: Counter[str] = Counter()
+        for text in rows["text"]:
+            if text:
+                counts.update({w.lower() for w in _word(text)})
+        return {"word": list(counts), "n": list(counts.values())}
+
+    counted = by_batch(docs.select("text"), each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.length("word").between(3, 24)).orderBy(F.col("n").desc(), "word").limit(most).collect()
+    return [r["word"] for r in reversed(found)]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans`` of every document."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+    words = corpus_words(docs)
 
     def each(rows: dict[str, list]) -> dict[str, list]:
-        novelty = Novelty()
+        novelty = primed(words)
         found = [find_spans(t, novelty) for t in rows["text"]]
         counts = {f"n_{name}": [sum(k == i for _, k, _ in every) for _, every in found] for i, name in enumerate(KINDS)}
         return {
@@ -164,6 +263,15 @@ def scan(docs: DataFrame) -> DataFrame:
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, schema)
 
 
+def primed(words: list[str], made: dict = {}) -> Novelty:  # noqa: B006
+    """One compressor a worker and dictionary."""
+    key = tuple(words)
+    if key not in made:
+        made.clear()
+        made[key] = Novelty(key)
+    return made[key]
+
+
 def redacted(text: str, spans: list[Span], mark: str) -> str:
     out, at = [], 0
     for start, _, end in spans:
@@ -177,9 +285,10 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """The same rows and columns with every span of ``text`` replaced; ``n_chars``, if there is one, follows."""
     names = docs.columns
     counted = "n_chars" in names
+    words = corpus_words(docs)
 
     def each(rows: dict[str, list]) -> dict[str, list]:
-        novelty = Novelty()
+        novelty = primed(words)
         for i, text in enumerate(rows["text"]):
             spans = find_spans(text, novelty)[1]
             if spans:
