@@ -12,6 +12,7 @@ learned. Repeated rows are judged alike, an empty table gives no rows. Columns b
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,15 +28,30 @@ from pyspark.sql import functions as F
 from stockloom.llm.docstats import held_out
 from stockloom.llm.shared import by_batch
 
-#: Documents of one language that are counted, and entries the model keeps of each language (n-grams: of each length).
+#: Documents of one language that are counted, and how often a word or n-gram must be found in it.
 DOCS_PER_LANGUAGE = 4_000
-WORD_ENTRIES = 200_000
-GRAM_ENTRIES = 100_000
+LEAST_COUNT = 2
 LONGEST_GRAM = 5
 ROOM = 150_000
 TOGETHER = 64
 
-_words = re.compile(r"[^\W\d_]+").findall
+
+
+def _ranges(*kinds: str) -> str:
+    """All characters of these Unicode categories, for a character class."""
+    found: list[list[int]] = []
+    for i in range(0x20000):
+        if unicodedata.category(chr(i)) in kinds:
+            if found and found[-1][1] == i - 1:
+                found[-1][1] = i
+            else:
+                found.append([i, i])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in found)
+
+
+# a word is letters, and the marks on them; numbers of any kind are none
+_LETTER = rf"[^\W\d_{_ranges('No', 'Nl')}]"
+_words = re.compile(rf"{_LETTER}+(?:[{_ranges('Mn', 'Mc', 'Me')}]+{_LETTER}*)*").findall
 
 
 def words_of(text: str | None) -> list[str]:
@@ -210,22 +226,24 @@ def _learns(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2
 
 
-def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entries: int = WORD_ENTRIES, gram_entries: int = GRAM_ENTRIES) -> Model:
+def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, least_count: int = LEAST_COUNT) -> Model:
     """Count words and n-grams of documents that are not held out.
 
-    About ``docs_per_language`` documents of each language are counted, chosen by a hash of their id. The words of each language
-    that occur twice and its n-grams are kept, at most the ``word_entries`` and ``gram_entries`` (for each length) most frequent:
-    the bound of what reaches the driver and the tasks, for each language. A kept entry has its counts of all languages.
+    About ``docs_per_language`` different documents of each language are counted, chosen by a hash of id and text. Of each language the
+    words and n-grams found ``least_count`` times are kept, however many these are: the sample alone bounds what reaches the driver and
+    the tasks. A kept entry has its counts of all languages.
     """
     fits = docs.filter(_learns(F.col("doc_id")) | F.col("doc_id").isNull()).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["docs"] for r in fits.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
+    fits = fits.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("key"))
+    different = fits.select("lang", "doc_id", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    sizes = {r["lang"]: r["docs"] for r in different.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], _empty(0), [_empty(0)] * LONGEST_GRAM, 0.0)
-    # a literal of one number a language: the texts stay where they are
+    # a literal of one number a language: only texts of the sample are shuffled
     shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, docs_per_language / sizes[lang])))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) / 1_000_000
-    sample = fits.filter(place < F.element_at(shares, F.col("lang")))
+    place = F.pmod(F.xxhash64("doc_id", "key", F.lit(2)), F.lit(1_000_000)) / 1_000_000
+    sample = fits.filter(place < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "doc_id", "key"])
 
     def each(rows: dict[str, list]) -> dict[str, list]:
         counts: dict[tuple[str, int], Counter] = {}
@@ -246,11 +264,8 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word_entr
     counted = by_batch(sample.select("lang", "text"), each, "lang string, length int, entry string, n long")
     counted = counted.groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("lang", "length"))
-    rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "entry"))
-    room = F.when(F.col("length") == 0, word_entries).otherwise(gram_entries)
-    counted = counted.withColumn("total", total).withColumn("rank", rank)
-    own = (F.col("rank") <= room) & ((F.col("n") > 1) | (F.col("length") > 0))
-    kept = counted.withColumn("kept", F.max(own).over(Window.partitionBy("length", "entry"))).filter("kept")
+    own = F.max("n").over(Window.partitionBy("length", "entry")) >= least_count
+    kept = counted.withColumn("total", total).withColumn("own", own).filter("own")
     kept = kept.select("length", F.xxhash64("entry").alias("key"), "entry", "lang", "n", "total").toArrow()
     return _model(languages, kept.sort_by([(c, "ascending") for c in ("length", "key", "entry", "lang")]))
 

@@ -402,7 +402,7 @@ def test_no_entry_is_lost_to_other_languages(spark):
     many = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_language=10**6)
     assert set(many.words) == {w for ws in words.values() for w in ws}
     both = spark.createDataFrame([(None, "aa aa aa bb bb", "a"), (None, "cc cc cc aa dd dd", "b")], "doc_id long, text string, lang string")
-    few = langid.learn(both, docs_per_language=10**6, word_entries=1)
+    few = langid.learn(both, docs_per_language=10**6, least_count=3)
     assert sorted(few.words) == ["aa", "cc"]
     assert np.allclose(few.word_rows[few.words["aa"]], -np.log10([3 / 5, 1 / 6]))
     assert np.allclose(few.word_rows[few.words["cc"]], [few.unknown, -np.log10(3 / 6)])
