@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.operators import levels
 from stockloom.operators.ordering import SEGMENT, by_segment, range_segments, spanning_groups
 from stockloom.operators.series import KEYS
 
@@ -16,11 +17,16 @@ def fill_nulls(
 ) -> DataFrame:
     """Replace a null by the next value of its column, else by the previous one.
 
+    A table that comes in segments is filled segment by segment, any other in two levels (:func:`stockloom.operators.levels.filled`):
+    inside its series, then from a table of one row a series.
+
     ``scope='frame'`` runs over the whole table in (store, product, date) order, so a short series takes values of the
     next one; ``scope='series'`` stays inside a series. Each segment is filled on its own; what lies beyond it comes
     from a table of the first and last value per segment. Next values are found by scanning the segment in descending
     order, because a frame that ends at the last row is evaluated anew for each row.
     """
+    if SEGMENT not in df.columns:
+        return levels.filled(df, columns, tie, scope)
     order = [*KEYS, "sale_date", *tie]
     segmented = range_segments(df, order)
     part = [SEGMENT] if scope == "frame" else [SEGMENT, *KEYS]

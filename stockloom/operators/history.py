@@ -110,6 +110,14 @@ def alert_state(events: DataFrame) -> DataFrame:
     )
 
 
+def state_events(state: DataFrame) -> DataFrame:
+    """The events that lead to the given states: a raise, and a resolving event for each alert that is resolved."""
+    fields = ("alert_id", "user_id", "prediction_id", "store_id", "product_id", "alert_type", "severity", "message", "details")
+    raised = state.filter("created_at is not null").select(*fields, F.lit("raise").alias("event"), F.col("created_at").alias("event_at"))
+    done = state.filter("resolved_at is not null").select(*fields, F.lit("resolve").alias("event"), F.col("resolved_at").alias("event_at"))
+    return raised.unionByName(done)
+
+
 def history_with_alerts(history: DataFrame, alerts: DataFrame) -> DataFrame:
     """Each prediction with its alerts; predictions without alerts stay."""
     columns = ["prediction_id", "alert_id", "alert_type", "severity", "message", "resolved"]

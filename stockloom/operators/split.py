@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.operators.ordering import row_position
+from stockloom.operators import levels
+from stockloom.operators.ordering import SEGMENT, row_position
 from stockloom.operators.series import KEYS
 
 
 def position_split(df: DataFrame, share: float, tie: tuple[str, ...] = (), name: str = "part") -> DataFrame:
-    """``head`` for the first ``share`` of the rows in (store, product, date) order, else ``tail``; with ``position``."""
-    placed = row_position(df, [*KEYS, "sale_date", *tie])
-    # one row
-    total = placed.agg(F.floor(F.count(F.lit(1)) * share).alias("_cut"))
-    out = placed.crossJoin(F.broadcast(total))
-    return out.withColumn(name, F.when(F.col("position") < F.col("_cut"), "head").otherwise("tail")).drop("_cut")
+    """``head`` for the first ``share`` of the rows in (store, product, date) order, else ``tail``; with ``position``.
+
+    A table in segments is numbered by them, any other by series, whose sizes give the total too.
+    """
+    if SEGMENT in df.columns:
+        placed = row_position(df, [*KEYS, "sale_date", *tie])
+        # one row
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_total"))))
+    else:
+        placed = levels.positions(df, tie)
+    part = F.when(F.col("position") < F.floor(F.col("_total") * share), "head").otherwise("tail")
+    return placed.withColumn(name, part).drop("_total")
 
 
 def date_split(df: DataFrame, share: float, name: str = "part") -> DataFrame:

@@ -492,16 +492,14 @@ def past_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segmented = ordering.range_segments(retail_fact(spark, sf_dir), [*series.KEYS, "sale_date"])
     columns = [*series.lag_columns(), *series.rolling_columns()]
-    return rounded(fill.fill_nulls(pin(series.series_features(segmented)), columns).select(*ROW, *columns))
+    return rounded(fill.fill_nulls(series.series_features(retail_fact(spark, sf_dir)), columns).select(*ROW, *columns))
 
 
 @query
 def series_filled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segmented = ordering.range_segments(retail_fact(spark, sf_dir), [*series.KEYS, "sale_date"])
     columns = series.lag_columns()
-    return fill.fill_nulls(pin(series.series_features(segmented, spans=())), columns, scope="series").select(*ROW, *columns)
+    return fill.fill_nulls(series.series_features(retail_fact(spark, sf_dir), spans=()), columns, scope="series").select(*ROW, *columns)
 
 
 @query
@@ -518,7 +516,7 @@ def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = split.position_split(retail_fact(spark, sf_dir), 0.8)
+    out = split.position_split(pin(retail_fact(spark, sf_dir)), 0.8)
     out = split.date_split(out, 0.8, "date_part")
     return out.select(*ROW, "position", "part", "date_part")
 
@@ -697,8 +695,9 @@ def alert_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "alert-stream")
     events = _alert_events(spark, sf_dir)
     for event in ("raise", "resolve"):
-        sinks.append_table(events.filter(F.col("event") == event).coalesce(2), f"{folder}/events")
-    alert_stream.start_alert_state(alert_stream.read_events(spark, f"{folder}/events", 1), f"{folder}/out").awaitTermination()
+        sinks.append_table(events.filter(F.col("event") == event).repartition("alert_id"), f"{folder}/events")
+        stream_of = alert_stream.read_events(spark, f"{folder}/events")
+        alert_stream.start_alert_state(stream_of, f"{folder}/out", compact_every=2).awaitTermination()
     return files.read_alert_state(spark, f"{folder}/out/state")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom import schemas
+from stockloom.session import pin
 from stockloom.functions.scalar import blank_to_null
 from stockloom.operators.cleanse import MALFORMED
 
@@ -82,11 +83,67 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alert_state(spark: SparkSession, path: str) -> DataFrame:
-    """The current alerts of a state stream: of each alert the row of the last batch that changed it."""
-    rows = spark.read.parquet(path)
-    fields = [c for c in rows.columns if c not in ("alert_id", "batch_id")]
-    latest = rows.groupBy("alert_id").agg(F.max_by(F.struct(*fields), F.col("batch_id").cast("long")).alias("s"))
-    return latest.select("alert_id", "s.*")
+    """The current alerts of a state stream: of each alert the row of the last batch that changed it, live or not.
+
+    A resolving event whose alert is unknown when it comes leaves a row without a raise, which any row with one replaces.
+    """
+    rows = _live_rows(spark, path)
+    upto = _merged(spark, path)
+    if upto:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(*[f"{path}-merged/upto={n}/live=false" for n in upto]))
+    return _latest(rows)
+
+
+def live_alerts(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """The state of live alerts before batch ``before``; none before the first."""
+    return None if before == 0 else _latest(_live_rows(spark, path, before))
+
+
+def merge_alert_batches(spark: SparkSession, path: str, upto: int, keep_days: float) -> None:
+    """Merge the batches up to ``upto`` with the live table; a repeated merge writes the same tables again."""
+    rows = _with_batch(_latest(_live_rows(spark, path, upto + 1), keep_batch=True), None)
+    newest = rows.agg(F.max(F.greatest("created_at", "resolved_at")).alias("newest"))
+    # one row
+    rows = rows.crossJoin(F.broadcast(newest))
+    live = ~F.col("resolved") | (F.col("resolved_at") >= F.col("newest") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(keep_days * 86400)))
+    rows = pin(rows.withColumn("live", live).drop("newest"))
+    for kept in (True, False):
+        part = rows.filter(F.col("live") == kept).drop("live")
+        part.write.mode("overwrite").parquet(f"{path}-merged/upto={upto}/live={str(kept).lower()}")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}-merged/upto={upto}/done")
+
+
+def _live_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Rows of the newest live table and of the batches after it, each with the batch that wrote it."""
+    upto = max(_merged(spark, path, before), default=-1)
+    rows = spark.read.parquet(path).filter(F.col("batch_id") > upto)
+    rows = _with_batch(rows if before is None else rows.filter(F.col("batch_id") < before), "batch_id")
+    if upto >= 0:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}-merged/upto={upto}/live=true"))
+    return rows
+
+
+def _with_batch(rows: DataFrame, name: str | None) -> DataFrame:
+    return rows.withColumn("batch", F.col(name).cast("long")).drop(name) if name else rows
+
+
+def _latest(rows: DataFrame, keep_batch: bool = False) -> DataFrame:
+    fields = [c for c in rows.columns if c not in ("alert_id", "batch")]
+    order = F.struct(F.col("created_at").isNotNull(), F.col("batch"))
+    latest = rows.groupBy("alert_id").agg(F.max_by(F.struct(*fields), order).alias("s"), F.max("batch").alias("batch"))
+    return latest.select("alert_id", "s.*", *["batch"] * keep_batch)
+
+
+def _merged(spark: SparkSession, path: str, before: int | None = None) -> list[int]:
+    """The last batches of the complete merges (before batch ``before``), by the names of their folders."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}-merged")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("upto=")]
+    done = sorted(int(p.getName()[5:]) for p in names if fs.exists(hadoop.Path(p, "done/_SUCCESS")))
+    return [n for n in done if before is None or n < before]
 
 
 def read_alert_events(spark: SparkSession, path: str) -> DataFrame:

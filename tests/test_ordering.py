@@ -98,3 +98,12 @@ def test_latest_features(sales):
     got = frame(series.latest_features(sales))
     for c in [*series.lag_columns(), *series.rolling_columns()]:
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-9)
+
+
+def test_fill_in_two_levels_equals_segments(sales):
+    columns = [*series.lag_columns(), *series.rolling_columns()]
+    plain, segmented = series.series_features(sales), series.series_features(ordering.range_segments(sales, [*series.KEYS, "sale_date"], 5))
+    for scope in ("frame", "series"):
+        a = frame(fill.fill_nulls(plain, columns, scope=scope))
+        b = frame(fill.fill_nulls(segmented, columns, scope=scope).select(*plain.columns))
+        pd.testing.assert_frame_equal(a, b)
