@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -229,12 +230,16 @@ class Tree:
 
 @dataclass
 class Ensemble:
-    """A fitted learner; ``columns`` are the places of its features in the binned row."""
+    """A fitted learner; ``columns`` are the places of its features in the binned row.
+
+    ``passed`` holds the milliseconds from the start of the fit to the end of each tree that this fit grew.
+    """
 
     learner: Learner
     columns: list[int]
     base: int
     trees: list[Tree] = field(default_factory=list)
+    passed: list[int] = field(default_factory=list)
 
     def margins(self, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """Margins of boosted trees, on from ``start`` if these are not all, or the sum of a forest's, in units of the grid."""
@@ -328,13 +333,24 @@ def _pass(rows: DataFrame, ensembles: Sequence[Ensemble], asked: list[tuple[int,
     return out
 
 
-def fit(rows: DataFrame, learners: Sequence[Learner], columns: Sequence[str], bins: int, cells: int = CELLS, keep: int = KEEP_ROUNDS) -> list[Ensemble]:
-    """Fit all learners side by side on ``hash, target, bins``: a row hash, the target on the grid, and a byte for each of ``columns``."""
+def fit(
+    rows: DataFrame, learners: Sequence[Learner], columns: Sequence[str], bins: int, cells: int = CELLS, keep: int = KEEP_ROUNDS,
+    known: Sequence[Ensemble] = (), each: Callable[[list[Ensemble]], None] | None = None,
+) -> list[Ensemble]:
+    """Fit all learners side by side on ``hash, target, bins``: a row hash, the target on the grid, and a byte for each of ``columns``.
+
+    Trees of ``known`` ensembles are not grown again. ``each`` gets the ensembles so far whenever one is complete or has ``keep`` more
+    trees than at the last call; a fit that goes on from them ends with the same trees.
+    """
     first = rows.agg(F.sum("target"), F.count(F.lit(1))).first()
     base = math.floor(first[0] / first[1] + 0.5) if first[1] else 0
     out = [Ensemble(lr, [columns.index(f) for f in lr.features], base if lr.boosted else 0) for lr in learners]
     if not first[1]:
         return out
+    for e in out:
+        e.trees += next((k.trees for k in known if k.learner.name == e.learner.name), [])
+    told = [len(e.trees) for e in out]
+    begun = time.monotonic()
     start = F.array(*[F.lit(e.base).cast("long") for e in out])
     rows = pin(rows.select("hash", "target", "bins", start.alias("margins")))
     width, kept = len(columns), 0
@@ -369,7 +385,12 @@ def fit(rows: DataFrame, learners: Sequence[Learner], columns: Sequence[str], bi
         for e, trees in growing.items():
             if trees and all(t.final is not None for t in trees):
                 out[e].trees += [t.tree() for t in trees]
+                out[e].passed += [int((time.monotonic() - begun) * 1000)] * len(trees)
                 growing[e] = []
+        now = [len(e.trees) for e in out]
+        if each and any(n > t and (n - t >= keep or n == e.learner.trees) for n, t, e in zip(now, told, out, strict=True)):
+            each(out)
+            told = now
 
 
 def _with_margins(rows: DataFrame, ensembles: list[Ensemble], kept: int, upto: int, width: int) -> DataFrame:

@@ -16,6 +16,7 @@ from stockloom.operators.ordering import SEGMENT, order_statistics, range_segmen
 from stockloom.operators.series import KEYS
 from stockloom.operators.stacking import COLUMNS, MODELS, TARGET, TrainConfig
 from stockloom.plans.scoring import analyse
+from stockloom.plans.stages import Stages, Unkept, input_mark
 from stockloom.session import pin
 from stockloom.sources import sinks
 from stockloom.sources.files import read_sales_csv
@@ -74,38 +75,76 @@ def bin_edges(df: DataFrame, columns: tuple[str, ...], bins: int) -> dict[str, l
     return {c: sorted(set(found.values())) for c, found in order_statistics(df, dict.fromkeys(columns, ranks)).items()}
 
 
-def train(sales: DataFrame, config: TrainConfig, tie: tuple[str, ...] = ()) -> Trained:
+def train(sales: DataFrame, config: TrainConfig, tie: tuple[str, ...] = (), stages: Stages | Unkept | None = None) -> Trained:
     """Features, split, four base models, their metrics, and the ridge on top.
 
     The encoded training rows are pinned once and binned once; all models grow on them side by side. Class means of a training row
-    come from rows before it in a shuffled order. Class indexes and class means are tables, not lists held by the driver.
+    come from rows before it in a shuffled order. Class indexes and class means are tables, not lists held by the driver. With
+    ``stages`` finished stages are taken from there, the trees grown so far included.
     """
-    table = pin(_steady(_split(pin(feature_table(sales, config, tie)), config.train_share, config, tie, "part")))
-    dictionary = pin(encode.label_dictionary(table))
+    stages = stages or Unkept()
+    table = stages.table(
+        "rows", lambda: _steady(_split(pin(feature_table(sales, config, tie)), config.train_share, config, tie, "part"))
+    )
+    dictionary = stages.table("dictionary", lambda: encode.label_dictionary(table))
     table = table.withColumn(GRID_TARGET, trees.on_grid(F.col(TARGET)))
     head = table.filter(F.col("part") == "head")
-    first = head.agg(F.sum(GRID_TARGET), F.count(GRID_TARGET)).first()
-    prior = math.floor(first[0] / first[1] + 0.5) if first[1] else 0
+    prior = stages.value("prior", lambda: _prior(head))
     sums = encode.target_sums(head, GRID_TARGET)
     mean = encode.smoothed_mean(F.col("s"), F.col("n"), F.lit(float(prior)))
-    means = pin(sums.select("column", "label", mean.alias("target_mean")))
-    keys = (*encode.ROW_KEY, *tie)
-    fit_rows = encode.ordered_means(head.withColumn("hash", trees.row_hash(keys)), GRID_TARGET, float(prior), keys=keys)
-    fit_rows = pin(encode.encode(fit_rows, dictionary).select("hash", F.col(GRID_TARGET).alias("target"), *COLUMNS))
-    edges = bin_edges(fit_rows, COLUMNS, config.bins)
+    means = stages.table("means", lambda: sums.select("column", "label", mean.alias("target_mean")))
+    fit_rows = stages.table("fit_rows", lambda: _fit_rows(head, dictionary, prior, (*encode.ROW_KEY, *tie)))
+    edges = stages.value("edges", lambda: bin_edges(fit_rows, COLUMNS, config.bins))
     binned = fit_rows.select("hash", "target", trees.binned(COLUMNS, edges).alias("bins"))
-    fitted = trees.fit(binned, stacking.base_learners(config), COLUMNS, config.bins)
-    models = {e.learner.name: e for e in fitted}
+    models = {e.learner.name: e for e in _fitted(binned, config, edges, stages)}
+
+    validation_rows = stages.table("validation", lambda: _validation(table, means, prior, dictionary, models, edges, config, tie))
+    meta = validation_rows.filter(F.col("meta_part") == "head")
+    ridge = stages.table("ridge", lambda: stacking.ridge(meta, MODELS, "actual", config.ridge_alpha))
+    validation = stacking.with_ridge(validation_rows, ridge, MODELS).drop(SEGMENT)
+    table_of_metrics = stages.table("metrics", lambda: metrics.model_metrics(validation, (*MODELS, "hybrid")))
+    return Trained(models, edges, ridge, dictionary, means, prior, validation, table_of_metrics, config)
+
+
+def _prior(head: DataFrame) -> int:
+    first = head.agg(F.sum(GRID_TARGET), F.count(GRID_TARGET)).first()
+    return math.floor(first[0] / first[1] + 0.5) if first[1] else 0
+
+
+def _fit_rows(head: DataFrame, dictionary: DataFrame, prior: int, keys: tuple[str, ...]) -> DataFrame:
+    rows = encode.ordered_means(head.withColumn("hash", trees.row_hash(keys)), GRID_TARGET, float(prior), keys=keys)
+    return encode.encode(rows, dictionary).select("hash", F.col(GRID_TARGET).alias("target"), *COLUMNS)
 
+
+def _fitted(binned: DataFrame, config: TrainConfig, edges: dict[str, list[float]], stages: Stages | Unkept) -> list[trees.Ensemble]:
+    """The base learners; with kept stages the trees so far are written from time to time, and a new start goes on from them."""
+    learners = stacking.base_learners(config)
+    if isinstance(stages, Unkept):
+        return trees.fit(binned, learners, COLUMNS, config.bins)
+    spark = binned.sparkSession
+    sizes = sorted((s for s in range(1, sum(lr.trees for lr in learners) + 1) if stages.finished(f"trees-{s}")), reverse=True)
+    known: list[trees.Ensemble] = []
+    if sizes:
+        base = stages.value("bases", dict)
+        known = trees.from_nodes(stages.table(f"trees-{sizes[0]}", lambda: binned), learners, COLUMNS, base, edges)
+
+    def write(so_far: list[trees.Ensemble]) -> None:
+        stages.value("bases", lambda: {e.learner.name: e.base for e in so_far})
+        stages.table(f"trees-{sum(len(e.trees) for e in so_far)}", lambda: trees.node_table(spark, so_far, edges))
+
+    return trees.fit(binned, learners, COLUMNS, config.bins, known=known, each=write)
+
+
+def _validation(
+    table: DataFrame, means: DataFrame, prior: int, dictionary: DataFrame, models: dict[str, trees.Ensemble], edges: dict[str, list[float]],
+    config: TrainConfig, tie: tuple[str, ...],
+) -> DataFrame:
+    """Held-out rows with the models' estimates, split for the ridge."""
     tail = encode.with_target_means(table.filter(F.col("part") == "tail"), means, float(prior))
     tail = tail.withColumns({f"_{c}": F.col(c) for c in features.CATEGORICAL})
     tail = _restored(_estimates(encode.encode(tail, dictionary), models, edges))
     tail = tail.withColumn("actual", features.from_log1p(F.col(TARGET)))
-    tail = pin(_split(pin(tail), config.meta_share, config, tie, "meta_part"))
-    ridge = pin(stacking.ridge(tail.filter(F.col("meta_part") == "head"), MODELS, "actual", config.ridge_alpha))
-    validation = stacking.with_ridge(tail, ridge, MODELS).drop(SEGMENT)
-    table_of_metrics = pin(metrics.model_metrics(validation, (*MODELS, "hybrid")))
-    return Trained(models, edges, ridge, dictionary, means, prior, validation, table_of_metrics, config)
+    return _split(pin(tail), config.meta_share, config, tie, "meta_part")
 
 
 def _estimates(df: DataFrame, models: dict[str, trees.Ensemble], edges: dict[str, list[float]]) -> DataFrame:
@@ -183,8 +222,13 @@ def score_latest(sales: DataFrame, trained: Trained, as_of: str, tie: tuple[str,
 
 
 def train_job(spark: SparkSession, sales_path: str, out: str, config: TrainConfig) -> Trained:
-    """Train on a sales file and save everything that scoring needs."""
-    trained = train(read_sales_csv(spark, sales_path), config)
+    """Train on a sales file and save everything that scoring needs.
+
+    Stages are kept under ``out``, in a folder named after the settings and the state of the input files: a job that is started
+    again with the same ones goes on where the last one ended.
+    """
+    stages = Stages(spark, f"{out}/stages/{input_mark(spark, sales_path, asdict(config))}")
+    trained = train(read_sales_csv(spark, sales_path), config, stages=stages)
     save(trained, out, spark)
     return trained
 
