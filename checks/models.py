@@ -244,6 +244,9 @@ _DEEP = LEARNERS["boosted_deep"]
 put("training_curve", _with("boosted_deep"), " UNION ALL ".join(
     f"""SELECT CAST({t} AS INT) AS iter, round(sqrt(sum(((margin - target) / {GRID}.0) ** 2) / count(*)), 6) AS rmse
 FROM boosted_deep_m{t + 1} JOIN rows_ USING (rid) WHERE kind = 'tail'""" for t in range(_DEEP.trees)))
+put("training_log", _with("boosted_deep"), " UNION ALL ".join(
+    f"""SELECT CAST({t} AS INT) AS iter, round(sqrt(sum(((margin - target) / {GRID}.0) ** 2) / count(*)), 6) AS rmse, true AS time_passes,
+  true AS time_runs_out FROM boosted_deep_m{t + 1} JOIN rows_ USING (rid) WHERE kind = 'tail'""" for t in range(_DEEP.trees)))
 _R2 = "(SELECT 1 - sum((actual - hybrid) ** 2) / (var_pop(actual) * count(*)) FROM combined WHERE kind = 'tail')"
 put("demand_model", STACKED + """,
 est AS MATERIALIZED (
@@ -251,6 +254,13 @@ est AS MATERIALIZED (
     discount, competitor_price, weather, promotion, season, hybrid AS demand FROM combined WHERE kind = 'ask'
 )""" + forecast("B") + PRICED_B + REORDER_B + finish("B").replace("0.5 * 30", f"{_R2} * 30"),
     f"SELECT {ROW}, round(demand, 3) AS demand, round(total_30day, 3) AS total_30day, order_quantity, urgency, health_score FROM done")
+put("meta_split", ROWS + f""",
+held AS MATERIALIZED (SELECT sale_date, store_id, product_id FROM kinds WHERE kind = 'tail'),
+held_days AS (SELECT sale_date, sum(count(*)) OVER (ORDER BY sale_date) - count(*) AS before FROM held GROUP BY sale_date),
+held_cut AS (SELECT max(sale_date) AS last_day FROM held_days WHERE before < (SELECT floor(count(*) * {QUICK.meta_share}) FROM held))""",
+    f"""SELECT {ROW}, 'head' AS meta_part FROM held WHERE sale_date <= (SELECT last_day FROM held_cut)
+UNION ALL SELECT {ROW}, 'tail' FROM held WHERE sale_date > (SELECT last_day FROM held_cut)""")
+ORACLES["saved_model_demand"] = ORACLES["demand_model"]
 put("ordered_means", FACT, f"""SELECT {ROW}, {", ".join(
     f'''round((coalesce(sum(q) OVER (PARTITION BY {c} ORDER BY {DIGEST}, {KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {GRID}.0)
   / (count(*) OVER (PARTITION BY {c} ORDER BY {DIGEST}, {KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1) / {GRID}.0, 6) AS {c}_mean''' for c in _CATS)}

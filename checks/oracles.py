@@ -807,6 +807,7 @@ _BOTH = HISTORY + ", " + "state AS (WITH " + ALERTS.strip() + " SELECT * FROM st
 put("history_with_alerts", _BOTH, f"""SELECT h.prediction_id, h.user_id, h.store_id, h.product_id, category, demand_forecast,
   recommended_price, reorder_quantity, health_score, {ts('h.created_at', 'created_at')}, alert_id, alert_type, severity, message,
   resolved FROM history h LEFT JOIN state s ON s.prediction_id = h.prediction_id""")
+ORACLES["stored_history_with_alerts"] = ORACLES["history_with_alerts"]
 _NEWEST = "row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, {id})"
 put("recent_predictions", HISTORY, f"""SELECT user_id, prediction_id, store_id, product_id, demand_forecast, recommended_price,
   reorder_quantity, {ts('created_at')}, CAST(rank AS INT) AS rank

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import scalar
@@ -19,7 +19,7 @@ from stockloom.operators import (
 from stockloom.plans import scoring, training
 from stockloom.schemas import SALES_HEADER
 from stockloom.session import pin, scratch_path
-from stockloom.sources import files, sinks
+from stockloom.sources import files, layout, sinks
 from stockloom.sources.tables import raw_requests, retail_fact
 from stockloom.streaming import alerts as alert_stream
 from stockloom.streaming import scoring as stream
@@ -173,6 +173,22 @@ def training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curve)
 
 
+@query
+def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same errors out of the learner's log file, and whether its times pass and run out as they should."""
+    trained, folder = _trained(spark, sf_dir), scratch_path(spark, "training-log")
+    deep = trained.models["boosted_deep"]
+    curve = trees.learning_curve(trained.validation, deep, "bins", training.GRID_TARGET, len(stacking.COLUMNS))
+    sinks.write_training_log(curve, deep.passed, folder)
+    log = files.read_training_log(spark, folder)
+    # one row a round
+    earlier = F.coalesce(F.lag("passed").over(Window.orderBy("iter")), F.lit(0))
+    left = F.floor(F.col("passed") * (len(deep.passed) - F.col("iter") - 1) / (F.col("iter") + 1)).cast("long")
+    return rounded(log.select(
+        "iter", "rmse", (F.col("passed") >= earlier).alias("time_passes"), (F.col("remaining") == left).alias("time_runs_out")
+    ))
+
+
 # --- sinks and exports ---
 
 
@@ -724,10 +740,18 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record with the smallest id, found by its id and user."""
-    rows = _history(spark, sf_dir)
-    key = rows.agg(F.min(F.struct("prediction_id", "user_id")).alias("k")).first()["k"]
-    return dashboard.report_by_id(rows, key["prediction_id"], key["user_id"]).drop("input_data", "prediction_result")
+    """The record with the smallest id, found by its id and user in a stored history bucketed by id."""
+    stored = layout.write_by_key(_history(spark, sf_dir), scratch_path(spark, "history-by-id"), "prediction_id")
+    key = stored.agg(F.min(F.struct("prediction_id", "user_id")).alias("k")).first()["k"]
+    return dashboard.report_by_id(stored, key["prediction_id"], key["user_id"]).drop("input_data", "prediction_result")
+
+
+@query
+def stored_history_with_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stored prediction with its stored alerts: both tables are bucketed by prediction, so that no row is shuffled."""
+    predictions = layout.write_by_key(_history(spark, sf_dir), scratch_path(spark, "history-by-id"), "prediction_id")
+    raised = layout.write_by_key(_alert_state(spark, sf_dir), scratch_path(spark, "alerts-by-id"), "prediction_id")
+    return history.history_with_alerts(predictions, raised).drop("input_data", "prediction_result")
 
 
 @query
@@ -816,3 +840,18 @@ def sample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = training.score_latest(retail_fact(spark, sf_dir), _trained(spark, sf_dir), AS_OF)
     return rounded(scored.select(*ROW, "demand", "total_30day", "order_quantity", "urgency", "health_score"), 3)
+
+
+@query
+def saved_model_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from models that were saved and loaded again."""
+    folder = scratch_path(spark, "models")
+    training.save(_trained(spark, sf_dir), folder, spark)
+    scored = training.score_latest(retail_fact(spark, sf_dir), training.load(spark, folder), AS_OF)
+    return rounded(scored.select(*ROW, "demand", "total_30day", "order_quantity", "urgency", "health_score"), 3)
+
+
+@query
+def meta_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held-out rows: the first half of their dates fits the ridge, the rest measures it."""
+    return _trained(spark, sf_dir).validation.select(*ROW, "meta_part")

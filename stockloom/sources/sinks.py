@@ -49,4 +49,16 @@ def metrics_object(metrics: DataFrame, weights: DataFrame | None = None) -> Data
 
 
 def write_metrics_json(metrics: DataFrame, path: str, weights: DataFrame | None = None) -> None:
-    metrics_object(metrics, weights).coalesce(1).write.text(path)
+    metrics_object(metrics, weights).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_training_log(curve: DataFrame, passed: list[int], folder: str) -> None:
+    """The log of a boosted learner: its error, and the milliseconds passed and presumably left, after each round.
+
+    ``passed`` holds one number a round. The time left is that of the remaining rounds at the mean speed so far.
+    """
+    rounds = len(passed)
+    times = [(i, int(t), int(t * (rounds - i - 1) / (i + 1))) for i, t in enumerate(passed)]
+    curve.select("iter", F.col("rmse").alias("RMSE")).orderBy("iter").coalesce(1).write.csv(f"{folder}/learn_error.tsv", sep="\t", header=True)
+    table = curve.sparkSession.createDataFrame(times, "iter int, Passed long, Remaining long")
+    table.coalesce(1).write.csv(f"{folder}/time_left.tsv", sep="\t", header=True)
