@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom import schemas
@@ -17,32 +17,87 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed(schemas.SALES_HEADER)
 
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files of an upload by their first line. One line a file reaches the driver."""
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("place")
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with their file, the start of their split in it, and their place in the split. Quotes don't matter here."""
+    lines = spark.read.text(paths, lineSep="\n")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = lines.withColumn("place", F.monotonically_increasing_id())
+    return lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+    """Files of an upload by their first line, and by whether any line has an odd number of quotes.
+
+    Where none has, no field holds a line break. One line a file reaches the driver.
+    """
+    found: dict[tuple[str, bool], list[str]] = {}
+    by_file = _lines(spark, path).groupBy("file").agg(
+        F.min_by("value", F.struct("block", "place")).alias("header"), F.max(F.col("quotes") % 2 == 1).alias("odd")
     )
-    found: dict[str, list[str]] = {}
-    for row in lines.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect():
-        found.setdefault(row["header"], []).append(row["file"])
+    for row in by_file.orderBy("file").collect():
+        found.setdefault((row["header"].removesuffix("\r"), row["odd"]), []).append(row["file"])
     return found
 
 
+def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, block, seq, record``: the records of CSV files whose quoted fields may hold line breaks, headers included.
+
+    Files are cut at their splits, and lines are put together again: a line begins a record if the quotes before it in its file are
+    even. Quotes are summed by split first, so a split knows on which side of a quote it begins; what it holds of a record that began
+    earlier goes to the split where that began. A task handles a split at a time, however large the file is; only a record itself must
+    fit into memory. After a quote that is never closed the rest of the file is one record.
+    """
+    lines = _lines(spark, paths)
+    in_order = Window.partitionBy("file").orderBy("block")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    # one row a split
+    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("n"))
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) % 2).alias("inside"))
+    in_split = Window.partitionBy("file", "block").orderBy("place")
+    before = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(splits, ["file", "block"]).withColumn("begins", ((F.col("inside") + before) % 2 == 0).cast("long"))
+    placed = placed.withColumn("seq", F.sum("begins").over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pieces = placed.groupBy("file", "block", "seq").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n").alias("record")
+    )
+    # of each split the last record that begins there, and the piece before its first one
+    ends = placed.groupBy("file", "block").agg(F.max("seq").alias("last"))
+    heads = ends.join(pieces.filter("seq = 0").select("file", "block", F.col("record").alias("head")), ["file", "block"], "left")
+    owner = F.last(F.when(F.col("last") > 0, F.struct("block", "last")), ignorenulls=True).over(earlier)
+    tails = heads.withColumn("owner", owner).filter("head is not null").groupBy("file", "owner.block", F.col("owner.last").alias("seq")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("block").alias("at"), "head"))), lambda x: x["head"]), "\n").alias("tail")
+    )
+    whole = pieces.filter("seq > 0").join(tails, ["file", "block", "seq"], "left")
+    record = F.concat("record", F.coalesce(F.concat(F.lit("\n"), F.col("tail")), F.lit("")))
+    whole = whole.select("file", "block", "seq", F.regexp_replace(record, "\r$", "").alias("record"))
+    return whole.sortWithinPartitions("file", "block", "seq")
+
+
 def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded files: every column text, missing-value spellings nulled.
 
     Columns may be absent or reordered, in each file on its own: files are read by their header and put together by name. Quotes
     inside quoted fields are doubled, and such fields may hold line breaks. The line of a row with too many or too few fields is
-    kept in ``_malformed``, for the reject reason.
+    kept in ``_malformed``, for the reject reason. Large files are read by many tasks, those with line breaks in fields too. A folder
+    without lines gives no rows and no other column.
     """
     tables = []
-    for files in _headers(spark, path).values():
-        names = spark.read.csv(files, header=True, quote='"', escape='"', multiLine=True).columns
+    for (header, odd), paths in _headers(spark, path).items():
+        if odd:
+            records = csv_records(spark, paths)
+            if header.count('"') % 2:  # the header goes on in the next line
+                header = records.filter("block = 0 and seq = 1").agg(F.min_by("record", "file")).first()[0]
+        names = spark.read.csv(spark.sparkContext.parallelize([header], 1), header=True, quote='"', escape='"', multiLine=odd).columns
         schema = ", ".join(f"`{c}` string" for c in [*names, MALFORMED])
-        raw = spark.read.schema(schema).csv(
-            files, header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED
-        )
+        options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+        if odd:
+            rows = records.filter("not (block = 0 and seq = 1)").filter(F.trim("record") != "")
+            raw = rows.select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+        else:
+            raw = spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
         tables.append(raw.select(*[blank_to_null(F.trim(F.col(f"`{c}`"))).alias(c) for c in names], MALFORMED))
+    if not tables:
+        return spark.createDataFrame([], f"{MALFORMED} string")
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table, allowMissingColumns=True)
