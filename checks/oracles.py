@@ -435,6 +435,8 @@ _REQUEST_ID = "sha256('run1_' || concat_ws('|', strftime(created_at, '%Y-%m-%d')
 put("scan_sales", FACT, f"""SELECT {ROW}, category, region, inventory_level, units_ordered, units_sold AS demand_forecast,
   price, discount, weather, CAST(promotion AS VARCHAR) AS promotion, competitor_price, season, units_sold FROM retail_fact""")
 put("scan_bulk", UPLOAD, "SELECT * EXCLUDE (request_id) FROM upload")
+put("scan_bulk_lines", UPLOAD, """SELECT sale_date, store_id, product_id, units_ordered,
+  region || chr(10) || 'ordered "' || units_ordered || '"' AS note, CAST(NULL AS VARCHAR) AS malformed FROM upload""")
 put("scan_history", HISTORY, f"SELECT {_HISTORY_COLUMNS} FROM history")
 put("stream_score", HISTORY, f"""SELECT {_HISTORY_COLUMNS.replace('prediction_id', _REQUEST_ID + ' AS prediction_id')}
 FROM history""")

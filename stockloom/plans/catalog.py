@@ -130,6 +130,15 @@ def scan_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_bulk_csv(spark, path).drop(cleanse.MALFORMED)
 
 
+@query
+def scan_bulk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload whose rows have a quoted field of two lines."""
+    path = scratch_path(spark, "bulk-csv")
+    note = F.concat("region", F.lit('\nordered "'), "units_ordered", F.lit('"'))
+    sinks.write_csv(raw_requests(spark, sf_dir).withColumn("note", note), path)
+    return files.read_bulk_csv(spark, path).select(*ROW, "units_ordered", "note", cleanse.MALFORMED).withColumnRenamed(cleanse.MALFORMED, "malformed")
+
+
 @query
 def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = metrics.model_metrics(_naive_predictions(spark, sf_dir), list(NAIVE_MODELS))
